@@ -58,9 +58,15 @@ def knn_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
             ok = (lo >= 0) & (hi < len(at))
             d = np.maximum(own[rank] - own[np.clip(lo, 0, None)], own[np.clip(hi, None, len(at) - 1)] - own[rank])
             reach = np.where(ok, np.minimum(reach, d), reach)
-        radius[at], near[at] = np.nextafter(reach, 0), kk
+        radius[at], near[at] = reach, kk
     every = np.sort(x)
-    m = np.searchsorted(every, x + radius, side="right") - np.searchsorted(every, x - radius, side="left")
+    high, low = np.searchsorted(every, x + radius, side="left"), np.searchsorted(every, x - radius, side="right")
+    # Only what is nearer than the radius counts; sums are rounded, so the edges are settled by differences.
+    while (over := (high > 0) & (every[high - 1] - x >= np.maximum(radius, np.nextafter(0, 1)))).any():
+        high = high - over
+    while (under := (low < len(every)) & (x - every[np.minimum(low, len(every) - 1)] >= np.maximum(radius, np.nextafter(0, 1)))).any():
+        low = low + under
+    m = np.maximum(high - low, 1)
     sizes = np.bincount(inverse)[inverse]
     value = digamma(np.array([len(x)]))[0] + digamma(near).mean() - digamma(sizes).mean() - digamma(m).mean()
     return max(0.0, float(value))

@@ -25,7 +25,9 @@ def _scan(spark: SparkSession, root: str, kind: str) -> DataFrame:
     parts = [F.regexp_extract(path, at, k) for k in (1, 2, 3)]
     rows = read.select("*", parts[0].alias("user"), parts[1].alias("folder"), parts[2].cast("int").alias("session"))
     named = F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), F.col("folder"))
-    return rows.where(F.try_add(named, F.lit(0)) == F.col("session")).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # Spark parses a file for its _corrupt_record only if another of its columns is asked for too.
+    whole = F.col("_corrupt_record").isNull() & (F.coalesce(F.size(kind), F.lit(0)) >= -1)
+    return rows.where(F.try_add(named, F.lit(0)) == F.col("session")).where(whole).drop("_corrupt_record")
 
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
