@@ -47,10 +47,12 @@ from typeloom.llm.common import kept_in_process, scratch, slices, stored, totals
 MAGIC = b"WVMX1\0"
 BLOCK = 1 << 17
 SHARD_TOKENS = 1 << 21
-MAX_WORDS = 700_000
+MAX_WORDS = 1_200_000
 #: Bytes of text encoded at a time.
-SLICE = 4_000_000
+SLICE = 12_000_000
 MARKS = ".,;:!?"
+#: Words encoded as one text.
+TOGETHER = 1000
 END_ID = 1
 
 
@@ -194,6 +196,11 @@ class WordEncoder(dict):
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.lowers = "Lowercase" in str(json.loads(self.tokenizer.to_str())["normalizer"]) and ids("HeLLo") == ids("hello")
         self.parts = all(ids(f"hello{m}") == ids("hello") + ids(m) for m in MARKS)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool) if suffix else None
+        for token, k in vocabulary.items() if suffix else ():
+            self.ends[k] = token.endswith(suffix)
 
     def _key(self, word: bytes) -> tuple[bytes, ...]:
         if b"<|" in word:
@@ -201,15 +208,38 @@ class WordEncoder(dict):
         word = word.lower() if self.lowers else word
         return (word[:-1], word[-1:]) if self.parts and word[-1:].decode("latin-1") in MARKS and word[-2:-1].isalpha() else (word,)
 
+    def _ask(self, new: list[bytes]) -> None:
+        """The library's ids of words that aren't kept yet.
+
+        Words of letters only are one piece for a tokenizer with word-end tokens. Many are
+        encoded as one text and told apart by these tokens, if there are as many as words.
+        """
+        words = [k.decode("utf-8") for k in new]
+        alone = list(range(len(new)))
+        if self.ends is not None:
+            plain = [i for i, w in enumerate(words) if w.isalpha()]
+            alone = [i for i, w in enumerate(words) if not w.isalpha()]
+            runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+            for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype="<u4")
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) != len(run):
+                    alone += run
+                    continue
+                data, first = ids.tobytes(), 0
+                for i, end in zip(run, ((last + 1) * 4).tolist(), strict=True):
+                    self[new[i]] = data[first:end]
+                    first = end
+        for i, found in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+            self[new[i]] = array("I", found.ids).tobytes()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after the other, and how many each has."""
         if len(self) > MAX_WORDS:
             self.clear()
         words, codes, starts = word_codes(texts)
         keys = {w: self._key(w) for w in words if w not in self}
-        new = list({k for key in keys.values() for k in key if k not in self})
-        for k, found in zip(new, self.tokenizer.encode_batch_fast([k.decode("utf-8") for k in new], add_special_tokens=False), strict=True):
-            self[k] = array("I", found.ids).tobytes()
+        self._ask(list({k for key in keys.values() for k in key if k not in self}))
         for w, key in keys.items():
             self[w] = b"".join([self[k] for k in key])
         each = [self[w] for w in words]
