@@ -26,11 +26,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.llm.common import plain_words_of, whole_text
+from typeloom.llm.common import plain_words_of, stored, whole_text
 
 TRAIN_DOCS = 12_000
 MAX_WORDS = 40_000
@@ -110,8 +110,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         return fit([])
     sample = seen.where(F.xxhash64(F.col("doc_id").cast("string")) <= edge)
     counts = sample.select("lang", F.explode(plain_words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= MAX_WORDS)
-    rows = top.select("lang", "word", "n").collect()  # MAX_WORDS rows a language at most
+    counts = stored(counts, "language-words")
+    # The least count of a language that leaves MAX_WORDS words at most, from the number of words by count.
+    cuts: dict[str, tuple[int, int]] = {}
+    for r in counts.groupBy("lang", "n").agg(F.count("*").alias("words")).orderBy("lang", F.desc("n")).collect():  # a sample's counts
+        total, cut = cuts.get(r.lang, (0, 0))
+        cuts[r.lang] = (total + r.words, r.n if total + r.words <= MAX_WORDS else cut)
+    least = F.create_map(*[F.lit(x) for lang, (_, cut) in cuts.items() for x in (lang, cut)]) if cuts else None
+    rows = counts.where(F.col("n") >= F.element_at(least, F.col("lang"))).collect() if cuts else []
     return fit([(r.lang, r.word, r.n) for r in rows if LETTERS.search(r.word)])
 
 
