@@ -69,7 +69,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7, "op10_sharding": OP10, "op6_quality_rules": OP6} if False else {"op7_line_dedup": OP7}
+    return {"op7_line_dedup": OP7}
 
 
 OP7 = r"""
