@@ -29,6 +29,7 @@ import io
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -50,7 +51,8 @@ SHARD_TOKENS = 1 << 21
 MAX_WORDS = 1_200_000
 #: Bytes of text encoded at a time.
 SLICE = 12_000_000
-MARKS = ".,;:!?"
+#: A run of these at the end of a word is looked up by itself.
+MARKS = ".,;:!?#*$%&|<>"
 #: Words encoded as one text.
 TOGETHER = 1000
 END_ID = 1
@@ -61,9 +63,10 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     press = zstandard.ZstdCompressor(level=1)
-    body, planes, rest = io.BytesIO(), [], ids
+    narrow = np.uint16 if levels <= 16 else np.uint32
+    body, planes, rest = io.BytesIO(), [], ids.astype(narrow)
     for level in range(levels - 1, -1, -1):
-        bits = (rest >> np.uint32(level) & np.uint32(1)).astype(bool)
+        bits = (rest & narrow(1 << level)) != 0
         blocks, ones = [], 0
         for first in range(0, len(bits), BLOCK):
             part = bits[first : first + BLOCK]
@@ -162,14 +165,16 @@ class WaveletMatrix:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order; the partings are undone from the lowest bit up. Checks the crc."""
-        ids = np.zeros(self.n, dtype=np.uint32)
+        narrow = np.uint16 if self.levels <= 16 else np.uint32
+        ids = np.zeros(self.n, dtype=narrow)
         for plane in range(self.levels - 1, -1, -1):
             packed = b"".join(self._section(at, length) for at, length, _ in self.planes[plane]["blocks"])
             bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8))[: self.n].astype(bool)
-            zeros, up = self.planes[plane]["zeros"], np.empty(self.n, dtype=np.uint32)
+            zeros, up = self.planes[plane]["zeros"], np.empty(self.n, dtype=narrow)
             up[~bits] = ids[:zeros]
-            up[bits] = ids[zeros:] | np.uint32(1 << (self.levels - 1 - plane))
+            up[bits] = ids[zeros:] | narrow(1 << (self.levels - 1 - plane))
             ids = up
+        ids = ids.astype(np.uint32)
         if zlib.crc32(ids.astype("<u4").tobytes()) != self.head["crc32"]:
             raise ValueError("the ids don't have the crc of the file")
         return ids
@@ -183,8 +188,9 @@ class WordEncoder(dict):
     """ids of white-space separated words, as arrays of unsigned 32-bit numbers.
 
     Before the library is asked, ASCII capitals are lowered if the tokenizer lowers them
-    anyway, and one final mark after an ASCII letter is taken off, where the tokenizer
-    splits anyway; both are tried out on a probe when the tokenizer is opened.
+    anyway, and a final run of marks after an ASCII letter is taken off, where the tokenizer
+    splits anyway; both are tried out on a probe when the tokenizer is opened. Letters are
+    composed (NFC) beforehand if the tokenizer composes them, so that more words are letters only.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -195,7 +201,8 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.lowers = "Lowercase" in str(json.loads(self.tokenizer.to_str())["normalizer"]) and ids("HeLLo") == ids("hello")
-        self.parts = all(ids(f"hello{m}") == ids("hello") + ids(m) for m in MARKS)
+        self.parts = all(ids(f"hello{m}") == ids("hello") + ids(m) for m in [*MARKS, MARKS, *[m * 3 for m in MARKS]])
+        self.composes = "NFC" in str(json.loads(self.tokenizer.to_str())["normalizer"]) and ids("e\u0301") == ids("\u00e9")
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool) if suffix else None
@@ -206,7 +213,8 @@ class WordEncoder(dict):
         if b"<|" in word:
             return (word,)
         word = word.lower() if self.lowers else word
-        return (word[:-1], word[-1:]) if self.parts and word[-1:].decode("latin-1") in MARKS and word[-2:-1].isalpha() else (word,)
+        stem = word.rstrip(MARKS.encode()) if self.parts else word
+        return (stem, word[len(stem) :]) if len(stem) < len(word) and stem[-1:].isalpha() else (word,)
 
     def _ask(self, new: list[bytes]) -> None:
         """The library's ids of words that aren't kept yet.
@@ -215,6 +223,8 @@ class WordEncoder(dict):
         encoded as one text and told apart by these tokens, if there are as many as words.
         """
         words = [k.decode("utf-8") for k in new]
+        if self.composes:
+            words = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in words]
         alone = list(range(len(new)))
         if self.ends is not None:
             plain = [i for i, w in enumerate(words) if w.isalpha()]
