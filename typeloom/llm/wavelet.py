@@ -75,7 +75,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
             body.write(data)
             ones += int(np.count_nonzero(part))
         planes.append({"zeros": len(ids) - ones, "blocks": blocks})
-        rest = np.concatenate((rest[~bits], rest[bits]))
+        rest = np.concatenate((np.compress(~bits, rest), np.compress(bits, rest)))
     docs = press.compress(json.dumps(doc_ids).encode() + b"\n" + np.asarray(lengths, dtype="<u8").tobytes())
     at = body.tell()
     body.write(docs)
@@ -171,8 +171,8 @@ class WaveletMatrix:
             packed = b"".join(self._section(at, length) for at, length, _ in self.planes[plane]["blocks"])
             bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8))[: self.n].astype(bool)
             zeros, up = self.planes[plane]["zeros"], np.empty(self.n, dtype=narrow)
-            up[~bits] = ids[:zeros]
-            up[bits] = ids[zeros:] | narrow(1 << (self.levels - 1 - plane))
+            up[np.flatnonzero(~bits)] = ids[:zeros]
+            up[np.flatnonzero(bits)] = ids[zeros:] | narrow(1 << (self.levels - 1 - plane))
             ids = up
         ids = ids.astype(np.uint32)
         if zlib.crc32(ids.astype("<u4").tobytes()) != self.head["crc32"]:
@@ -210,6 +210,8 @@ class WordEncoder(dict):
             self.ends[k] = token.endswith(suffix)
 
     def _key(self, word: bytes) -> tuple[bytes, ...]:
+        if word.isalpha():
+            return (word.lower() if self.lowers else word,)
         if b"<|" in word:
             return (word,)
         word = word.lower() if self.lowers else word
@@ -251,7 +253,7 @@ class WordEncoder(dict):
         keys = {w: self._key(w) for w in words if w not in self}
         self._ask(list({k for key in keys.values() for k in key if k not in self}))
         for w, key in keys.items():
-            self[w] = b"".join([self[k] for k in key])
+            self[w] = self[key[0]] if len(key) == 1 else self[key[0]] + self[key[1]]
         each = [self[w] for w in words]
         lengths, flat = np.array([len(x) // 4 for x in each], dtype=np.int64), np.frombuffer(b"".join(each), dtype="<u4")
         counts = lengths[codes]
