@@ -24,8 +24,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents are dropped; ``n_chars`` follows the text. Documents left without a word go."""
-    out = line_dedup.drop_frequent_lines(docs)
+    """Lines found in many documents are dropped; ``n_chars`` follows the text. Documents left without a word go.
+
+    Copies of a document count once, so that they don't empty each other: SimHash keeps one of them.
+    """
+    out = line_dedup.drop_frequent_lines(docs, copies_once=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.where((F.col("line_dedup_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

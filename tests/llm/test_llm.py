@@ -274,3 +274,23 @@ def test_pipeline(spark, tmp_path):
     assert {r.n_tokens for r in got if r.doc_id > 33} == {51}
     digest = hashlib.sha256(repr(sorted((r.doc_id, r.bucket) for r in got)).encode()).hexdigest()
     assert digest == hashlib.sha256(repr(sorted((r.doc_id, r.bucket) for r in corpus.run(spark, str(tmp_path)).collect())).encode()).hexdigest()
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    words = [a + b for a in ("ka", "lo", "mi", "ne") for b in ("ra", "st", "un", "po")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    copied, spelt = f"{text(40)}\n{text(40)}", f"{text(40)}\n\n{text(40)}"
+    texts = [text(60) for _ in range(20)] + [copied] * 12 + [spelt, spelt.upper(), *[spelt + " " * k + "\n" for k in range(12)]]
+    texts += [f"{text(50)}\nshared footer line" for _ in range(12)]
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], cols).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id: r for r in corpus.line_stage(spark, docs, str(tmp_path)).collect()}
+    assert [left[i].text for i in range(46)] == texts[:46]
+    assert all(left[i].text == texts[i].split("\n")[0] and left[i].n_chars == len(left[i].text) for i in range(46, 58))
+    assert {r.doc_id for r in corpus.run(spark, str(tmp_path)).collect()} == {*range(21), 32, *range(46, 58)}
+    # The operator itself counts every copy.
+    assert all(r.line_dedup_n_dropped == 2 for r in line_dedup.drop_frequent_lines(docs).where("doc_id between 20 and 31").collect())

@@ -16,6 +16,9 @@ Defined cases: null and empty texts are one empty line; empty keys (fewer than `
 code points) are never dropped. A document whose lines are all dropped keeps an empty text.
 Repeated rows count as documents of their own; a null doc_id is a value. An empty table
 gives no rows. Other columns stay as they are.
+
+With ``copies_once``, documents whose non-empty keys are the same in the same order (exact
+copies among them) count as one document, so that a document isn't emptied by its own copies.
 """
 
 from __future__ import annotations
@@ -83,17 +86,25 @@ class LineRuns:
         return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, copies_once: bool = False) -> DataFrame:
     """All columns of ``docs``, ``text`` without the dropped lines, and n_lines, n_dropped (prefixed with ``line_dedup_``)."""
     spark = docs.sparkSession
-    keyed = docs.select(docs["doc_id"].alias("d"), F.explode(F.array_distinct(F.filter(line_keys(whole_text(docs)), lambda x: F.length(x) >= min_chars))).alias("key"))
+    long_keys = F.filter(line_keys(whole_text(docs)), lambda x: F.length(x) >= min_chars)
+    if copies_once:
+        t1, t2 = key_hash(F.col("keys"))
+        keyed = docs.select(docs["doc_id"].alias("d"), long_keys.alias("keys")).select("d", t1.alias("t1"), t2.alias("t2"), F.explode(F.array_distinct("keys")).alias("key"))
+    else:
+        keyed = docs.select(docs["doc_id"].alias("d"), F.explode(F.array_distinct(long_keys)).alias("key"))
+    copy = ["t1", "t2"] if copies_once else []
     h1, h2 = key_hash(F.col("key"))
     at = scratch(spark, "line-keys")
-    keyed.select("d", h1.alias("h1"), h2.alias("h2"), F.pmod(F.xxhash64("d"), F.lit(batches)).cast("int").alias("batch")).write.partitionBy("batch").parquet(at)
-    hashed = spark.read.schema(f"d {dict(docs.dtypes)['doc_id']}, h1 long, h2 long, batch int").parquet(at)
+    # Copies fall into one batch, as they have to meet to be counted once.
+    keyed.select("d", *copy, h1.alias("h1"), h2.alias("h2"), F.pmod(F.xxhash64(*(copy or ["d"])), F.lit(batches)).cast("int").alias("batch")).write.partitionBy("batch").parquet(at)
+    hashed = spark.read.schema(f"d {dict(docs.dtypes)['doc_id']}, {''.join(f'{c} long, ' for c in copy)}h1 long, h2 long, batch int").parquet(at)
     runs = LineRuns(spark, min_docs)
     for k in range(batches):
-        runs.add(hashed.where(F.col("batch") == k).select("h1", "h2"))
+        batch = hashed.where(F.col("batch") == k).select("h1", "h2", *copy)
+        runs.add((batch.distinct() if copies_once else batch).select("h1", "h2"))
     frequent = stored(runs.frequent(), "line-frequent")
     hits = hashed.join(frequent, ["h1", "h2"], "left_semi")
     dropped = hits.groupBy("d").agg(F.collect_set("h1").alias("gone")).select(F.col("d").alias("line_dedup_id"), F.col("gone").alias("line_dedup_gone"))
