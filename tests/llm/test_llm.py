@@ -294,3 +294,13 @@ def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
     assert {r.doc_id for r in corpus.run(spark, str(tmp_path)).collect()} == {*range(21), 32, *range(46, 58)}
     # The operator itself counts every copy.
     assert all(r.line_dedup_n_dropped == 2 for r in line_dedup.drop_frequent_lines(docs).where("doc_id between 20 and 31").collect())
+
+
+def test_one_of_each_under_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(40)) for _ in range(7)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, texts[4]), (7, texts[4]), (6, texts[4]), (None, None), (5, texts[5]), (4, texts[5]), (None, texts[6])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int").repartition(3)
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4]), (None, None), (4, texts[5]), (None, texts[6])]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

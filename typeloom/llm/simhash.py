@@ -207,14 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (smallest doc_id reachable): a row for each document."""
+    """doc_id, text_hash, fp, component_id (smallest doc_id reachable), root (a fingerprint of the component): a row for each document."""
     marked = stored(fingerprints(docs), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-least")
     root = components(links(distinct.select("fp")))
     of_fp = stored(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fp-roots")
     least = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(of_fp.join(least, "root").select("fp", "component_id"), "fp-components")
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = stored(of_fp.join(least, "root").select("fp", "component_id", "root"), "fp-components")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def fingerprint_hex(fp) -> F.Column:
@@ -222,12 +222,16 @@ def fingerprint_hex(fp) -> F.Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns: of each component the one with the smallest doc_id (of repeated rows, one)."""
+    """The documents, all columns: of each component the one with the smallest doc_id (of repeated rows, one).
+
+    Components are told apart by their roots: component_id is null where all doc_ids are, and a
+    repeated doc_id may be the smallest of several.
+    """
     found = stored(near_duplicates(docs), "near-duplicates")
     # Of several rows under the smallest doc_id, the least text hash: one key a component.
     key = F.struct(F.col("doc_id").isNull(), "doc_id", F.coalesce("text_hash", F.lit(0)).alias("h"))
-    rows = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    chosen = stored(rows.groupBy("component_id").agg(F.min(F.struct(key.alias("key"), "n")).alias("x")).select("x.key.doc_id", "x.key.h", "x.n"), "chosen")
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    chosen = stored(rows.groupBy("root").agg(F.min(F.struct(key.alias("key"), "n")).alias("x")).select("x.key.doc_id", "x.key.h", "x.n"), "chosen")
     names = chosen.select(F.col("doc_id").alias("simhash_id"), F.col("h").alias("simhash_text"))
     stay = docs.join(names, docs["doc_id"].eqNullSafe(F.col("simhash_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("simhash_text")), "left_semi")
     # Only where a chosen row is repeated do whole rows have to meet once more.
