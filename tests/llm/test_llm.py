@@ -304,3 +304,14 @@ def test_one_of_each_under_null_and_repeated_ids(spark):
     got = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4]), (None, None), (4, texts[5]), (None, texts[6])]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_decontamination_under_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    noise = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    item = noise(30)
+    leaky, clean = [f"{noise(9)} {item} {noise(k)}" for k in range(3)], [noise(60) for _ in range(3)]
+    data = [(None, leaky[0]), (None, clean[0]), (None, clean[0]), (None, None), (4, leaky[1]), (4, clean[1]), (4, ""), (5, leaky[2]), (5, leaky[2]), (6, clean[2])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int").repartition(3)
+    out = decontaminate.decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == df.columns and sorted(r.k for r in out.collect()) == [1, 2, 3, 5, 6, 9]

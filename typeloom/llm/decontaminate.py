@@ -118,6 +118,13 @@ def _agreement(x: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, without those that overlap an item (a null doc_id is matched as a value)."""
-    leaks = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("leaky_doc_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("leaky_doc_id")), "left_anti")
+    """The documents, all columns, without those whose own text overlaps an item.
+
+    Rows are told apart by doc_id (a null one is a value) and two hashes of the text, so that
+    other texts under a leaky row's doc_id stay.
+    """
+    text = docs["text"].cast("string")
+    hashes = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2")).alias("doc_id"), text.alias("text"))
+    leaks = find_leaks(keyed, benchmark, threshold).select(*[F.col(f"doc_id.{c}").alias(f"leaky_{c}") for c in ("id", "h1", "h2")]).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("leaky_id")) & (hashes[0] == F.col("leaky_h1")) & (hashes[1] == F.col("leaky_h2")), "left_anti")
