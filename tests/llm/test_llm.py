@@ -315,3 +315,20 @@ def test_decontamination_under_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int").repartition(3)
     out = decontaminate.decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert out.columns == df.columns and sorted(r.k for r in out.collect()) == [1, 2, 3, 5, 6, 9]
+
+
+@pytest.mark.parametrize("n", [3, quality.MAX_LANGS + 6])
+def test_quality_references_of_every_language(spark, monkeypatch, n):
+    rng = random.Random(8)
+    other = lambda k: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda k: " ".join(quality.COMMON[k] if i % 2 else other(k) for i in range(60))
+    # Language k has one common word of its own; the last has fewest documents, and capitals that no other has.
+    data = [(k * 10 + i, prose(k % 30), f"l{k:03}") for k in range(n - 1) for i in range(3)] + [(9000 + i, prose(33).upper(), "last") for i in range(2)] + [(9900, prose(0), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    judged = lambda: {r.doc_id: r for r in quality.judge(df).collect()}
+    got = judged()
+    assert got[9000].nearest_lang == got[9001].nearest_lang == "last" and got[9000].kept and got[9001].kept
+    assert all(r.char_distance < 0.05 and r.kept for r in got.values())
+    monkeypatch.setattr(quality, "MAX_LANGS", 0 if n <= quality.MAX_LANGS else n)  # the other way gives the same
+    for d, r in judged().items():
+        assert (r.kept, r.nearest_lang) == (got[d].kept, got[d].nearest_lang) and r[9:] == pytest.approx(got[d][9:], abs=1e-6)

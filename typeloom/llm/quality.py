@@ -10,8 +10,8 @@ words on; shorter documents are too few draws for it and aren't rejected by it.
 
 One pass over the texts (no Python, no shuffle of texts) gives slim rows of counts, which
 are written once to the shared folder; the references are sums over these rows by language
-and bin (at most ``MAX_LANGS`` languages, the most frequent) and come into the second plan
-as literals of bounded size.
+and bin, for every language. Up to ``MAX_LANGS`` languages they come into the second plan as
+literals of bounded size, more as a scalar subquery's array of 44 numbers a language.
 
 Base counts: see ``base_counts``. Defined cases: null and empty texts have no words and
 fail the base rule; null languages add to no reference; with no reference at all only the
@@ -132,23 +132,37 @@ def shares(counts: Column) -> Column:
     return bind(F.greatest(_sum(F.transform(counts, lambda x: x.cast("double"))), F.lit(1.0)), lambda n: F.transform(counts, lambda x: x / n))
 
 
-def references(counted: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """(language, shares of character classes, shares of common words) over all documents of a language.
+def reference_bins(counted: DataFrame) -> DataFrame:
+    """lang, kind (0: character classes, 1: common words), bin, x: a row for each bin of each language.
 
-    Character classes: the median of the documents' shares, which a minority of junk doesn't move,
-    scaled to a sum of 1. Common words: the shares of their sums.
+    Character classes: the median of the documents' shares, which a minority of junk doesn't move.
+    Common words: their sums.
     """
     known = counted.where(F.col("lang").isNotNull())
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     chars = known.select("lang", F.posexplode(shares(F.col("chars"))).alias("bin", "x")).groupBy("lang", "bin").agg(F.percentile_approx("x", 0.5, 1000).alias("x"))
     words = known.select("lang", F.posexplode("commons").alias("bin", "x")).groupBy("lang", "bin").agg(F.sum("x").cast("double").alias("x"))
-    both = chars.select("lang", F.lit(0).alias("kind"), "bin", "x").unionByName(words.select("lang", F.lit(1).alias("kind"), "bin", "x"))
-    rows = both.join(F.broadcast(langs), "lang").orderBy("lang", "kind", "bin").collect()  # MAX_LANGS times the bins
+    return chars.select("lang", F.lit(0).alias("kind"), "bin", "x").unionByName(words.select("lang", F.lit(1).alias("kind"), "bin", "x"))
+
+
+def references(counted: DataFrame) -> Column | None:
+    """An array of (lang, c, w) over every language: shares of character classes and of common words, scaled to a sum of 1.
+
+    None without a language. Up to MAX_LANGS languages are literals, more a scalar subquery.
+    """
+    bins = stored(reference_bins(counted), "quality-references")
+    n = bins.select("lang").distinct().count()
+    if n == 0:
+        return None
+    if n > MAX_LANGS:
+        ordered = bins.groupBy("lang", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "x"))), lambda b: b["x"]).alias("xs"))
+        scaled = ordered.select("lang", "kind", bind(F.col("xs"), lambda xs: bind(_sum(xs), lambda t: F.transform(xs, lambda x: x / F.when(t == 0, 1.0).otherwise(t)))).alias("xs"))
+        whole = scaled.groupBy("lang").agg(F.max(F.when(F.col("kind") == 0, F.col("xs"))).alias("c"), F.max(F.when(F.col("kind") == 1, F.col("xs"))).alias("w"))
+        return whole.agg(F.array_sort(F.collect_list(F.struct("lang", "c", "w")))).scalar()
     found: dict[str, tuple[list[float], list[float]]] = {}
-    for r in rows:
+    for r in bins.orderBy("lang", "kind", "bin").collect():  # MAX_LANGS times the bins
         found.setdefault(r.lang, ([], []))[r.kind].append(r.x)
-    share = lambda xs: [x / (sum(xs) or 1.0) for x in xs]
-    return [(lang, share(c), share(w)) for lang, (c, w) in sorted(found.items())]
+    share = lambda xs: F.array(*[F.lit(x / (sum(xs) or 1.0)) for x in xs])
+    return F.array(*[F.struct(F.lit(lang).alias("lang"), share(c).alias("c"), share(w).alias("w")) for lang, (c, w) in sorted(found.items())])
 
 
 def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
@@ -156,17 +170,15 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
     counted = stored(base_counts(docs), "quality-counts")
     refs = references(counted)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    numbers = lambda xs: F.array(*map(F.lit, xs))
-    if refs:
-        every = F.array(*[F.struct(F.lit(lang).alias("lang"), numbers(c).alias("c"), numbers(w).alias("w")) for lang, c, w in refs])
+    if refs is not None:
 
         def nearest(v: Column) -> Column:
-            scored = F.transform(every, lambda r: F.struct(js_distance(v["c"], r["c"]).alias("c"), js_distance(v["w"], r["w"]).alias("w"), r["lang"].alias("lang")))
+            scored = F.transform(v["every"], lambda r: F.struct(js_distance(v["c"], r["c"]).alias("c"), js_distance(v["w"], r["w"]).alias("w"), r["lang"].alias("lang")))
             return F.array_min(F.transform(scored, lambda s: F.struct((s["c"] + s["w"]).alias("sum"), s["c"].alias("c"), s["w"].alias("w"), s["lang"].alias("lang"))))
 
-        near = bind(F.struct(shares(F.col("chars")).alias("c"), shares(F.col("commons")).alias("w")), nearest)
+        near = bind(F.struct(shares(F.col("chars")).alias("c"), shares(F.col("commons")).alias("w"), F.col("every")), nearest)
     else:
         near = F.lit(None).cast("struct<sum:double,c:double,w:double,lang:string>")
     far = ((F.col("near.c") > char_limit) & (_sum(F.col("chars"), F.lit(0).cast("long")) >= MIN_CHARS)) | ((F.col("near.w") > word_limit) & (F.col("n_words") >= MIN_WORDS))
-    out = counted.withColumn("near", near).withColumn("base_failed", failed)
+    out = (counted if refs is None else counted.withColumn("every", refs)).withColumn("near", near).withColumn("base_failed", failed)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.col("near.lang").alias("nearest_lang"), F.col("near.c").alias("char_distance"), F.col("near.w").alias("word_distance"))
