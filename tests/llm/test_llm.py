@@ -332,3 +332,14 @@ def test_quality_references_of_every_language(spark, monkeypatch, n):
     monkeypatch.setattr(quality, "MAX_LANGS", 0 if n <= quality.MAX_LANGS else n)  # the other way gives the same
     for d, r in judged().items():
         assert (r.kept, r.nearest_lang) == (got[d].kept, got[d].nearest_lang) and r[9:] == pytest.approx(got[d][9:], abs=1e-6)
+
+
+def test_packing_is_optimal_beyond_short_lengths(spark):
+    rng = random.Random(9)
+    xs = sorted(rng.sample(range(3000, 3024), 9)) + [20_001, 20_002]
+    cs = [rng.randint(1, 9) for _ in xs]
+    pad = lambda ends: sum(c * (min(e for e in ends if e >= x) - x) for x, c in zip(xs, cs, strict=True))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(x for x, c in zip(xs, cs, strict=True) for _ in range(c))], "doc_id long, n long")
+    for n in (1, 2, 4, 7, 11):
+        got = packing.pack(df.withColumn("text", F.lit("")), n, tokens=F.col("n")).agg(F.sum("padding")).first()[0]
+        assert got == min(pad([*e, xs[-1]]) for k in range(n) for e in combinations(xs[:-1], k))

@@ -1,11 +1,11 @@
 """Packing: optimal length buckets, then batches of a fixed token budget inside each.
 
 1. The global histogram of lengths (number of documents by length, partial sums on the
-   executors) comes to the driver on a grid of at most ``2 * GRID`` lengths: lengths up to
-   GRID are exact, longer ones are rounded up to a multiple of a power of two, to at most
-   GRID steps an octave, so its size doesn't follow the number of documents.
-2. Dynamic programming over that histogram chooses ``n_buckets`` upper lengths that
-   minimise the padding in all. A bucket's upper length is the longest length really in it.
+   executors) comes to the driver, a row for each different length. m different lengths
+   take m * (m + 1) / 2 tokens at least, so its size is at most the root of twice the
+   tokens (100,000 rows for 5 billion tokens), whatever the number of documents.
+2. Dynamic programming over that histogram, linear in its size, chooses ``n_buckets`` upper
+   lengths that minimise the padding in all, exactly. An upper length is a document's.
 3. Inside a bucket of upper length L a batch holds max(1, budget // L) documents. Rows are
    numbered within a bucket without one task seeing the whole bucket: documents are dealt
    to salts by a hash, numbered within (bucket, salt), and shifted by the prefix sums of
@@ -18,13 +18,13 @@ numbers are given in any order among themselves. An empty table gives no rows.
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.llm.common import BLANK_CLASS, stored, whole_text
 
-GRID = 1024
 N_BUCKETS = 16
 BUDGET = 65_536
 #: Documents in a salt, about: the rows that one task sorts.
@@ -36,41 +36,42 @@ def word_tokens(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(f"[^{BLANK_CLASS[1:]}+")) + 1).cast("long")
 
 
-def gridded(length: Column) -> Column:
-    """``length`` rounded up on the grid: exact up to GRID, then GRID steps an octave at most."""
-    octave = F.greatest(F.ceil(F.log2((length / F.lit(GRID)).cast("double"))), F.lit(0)).cast("int")
-    step = F.expr("1L") * F.pow(F.lit(2.0), octave).cast("long")
-    return (F.ceil(length / step) * step).cast("long")
-
-
 def optimal_buckets(lengths, counts, n_buckets: int) -> list[int]:
     """Upper lengths of at most ``n_buckets`` buckets with the least padding in all.
 
-    cost(i, j) = sum of counts[i..j] * (lengths[j] - lengths) is found from prefix sums;
-    best[b][j] = min over i of best[b-1][i-1] + cost(i, j), vectorised over i.
+    cost(i, j) = sum of counts[i..j] * (lengths[j] - lengths) is found from prefix sums n and s;
+    best[b][j] = min over i of best[b-1][i] + cost(i + 1, j) is lengths[j] * n[j] - s[j] plus the
+    least of the lines best[b-1][i] + s[i] - n[i] * lengths[j]. Their slopes fall with i and
+    lengths rises, so a queue of the lines that can still be least makes each b linear in time.
     """
-    x, c = np.asarray(lengths, dtype=np.float64), np.asarray(counts, dtype=np.float64)
+    x, c = [int(v) for v in lengths], [int(v) for v in counts]
     m = len(x)
-    if m == 0:
-        return []
-    n, s = np.concatenate(([0.0], np.cumsum(c))), np.concatenate(([0.0], np.cumsum(c * x)))
-    best, back = np.full(m + 1, np.inf), []
-    best[0] = 0.0
+    n, s = [0, *accumulate(c)], [0, *accumulate(a * b for a, b in zip(x, c, strict=True))]
+    best, back = [0] + [None] * m, []
     for _ in range(min(n_buckets, m)):
-        new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64)
-        new[0] = 0.0
+        new, arg, lines, first = [0] * (m + 1), [0] * (m + 1), [], 0
         for j in range(1, m + 1):
-            cost = best[:j] + x[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
-            arg[j] = int(np.argmin(cost))
-            new[j] = cost[arg[j]]
+            if best[j - 1] is not None:
+                k, d = best[j - 1] + s[j - 1], n[j - 1]
+                while len(lines) - first > 1:
+                    (k1, d1, _), (k2, d2, _) = lines[-2:]
+                    if (k - k1) * (d2 - d1) > (k2 - k1) * (d - d1):
+                        break
+                    lines.pop()
+                lines.append((k, d, j - 1))
+            at = x[j - 1]
+            while len(lines) - first > 1 and lines[first + 1][0] - lines[first + 1][1] * at < lines[first][0] - lines[first][1] * at:
+                first += 1
+            k, d, arg[j] = lines[first]
+            new[j] = at * n[j] - s[j] + k - d * at
         best = new
         back.append(arg)
     ends, j = [], m
     for arg in reversed(back):
         if j == 0:
             break
-        ends.append(int(x[j - 1]))
-        j = int(arg[j])
+        ends.append(x[j - 1])
+        j = arg[j]
     return sorted(set(ends))
 
 
@@ -81,17 +82,14 @@ def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET, toke
     """
     spark = docs.sparkSession
     length = word_tokens(whole_text(docs)) if tokens is None else tokens
-    sized = stored(docs.select(docs["doc_id"].alias("doc_id"), length.cast("long").alias("n_tokens")).withColumn("cell", gridded(F.col("n_tokens"))), "pack-lengths")
-    histogram = sized.groupBy("cell").agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).orderBy("cell").collect()  # a bounded grid
-    cells = [r.cell for r in histogram]
-    uppers = optimal_buckets([r.longest for r in histogram], [r.n for r in histogram], n_buckets)
+    sized = stored(docs.select(docs["doc_id"].alias("doc_id"), length.cast("long").alias("n_tokens")), "pack-lengths")
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()  # see above for its size
+    uppers = optimal_buckets([r.n_tokens for r in histogram], [r.n for r in histogram], n_buckets)
     if not uppers:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, bucket int, bucket_len long, batch long, slot int, padding long")
-    ends = {r.longest: r.cell for r in histogram}
     bucket = F.lit(len(uppers) - 1)
     for k in range(len(uppers) - 2, -1, -1):
-        bucket = F.when(F.col("cell") <= ends[uppers[k]], k).otherwise(bucket)
-    assert cells[-1] == ends[uppers[-1]]
+        bucket = F.when(F.col("n_tokens") <= uppers[k], k).otherwise(bucket)
     salts = max(1, -(-sum(r.n for r in histogram) // SALT_ROWS))
     salted = sized.withColumn("bucket", bucket.cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     dealt = F.element_at(F.array(*map(F.lit, uppers)), F.col("bucket") + 1).cast("long")
