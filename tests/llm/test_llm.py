@@ -216,7 +216,7 @@ def test_token_counts(docs, none):
     got = Counter(map(tuple, token_counts.count_tokens(docs, path).collect()))
     assert got == Counter((r[0], len(WORD.findall(r[1] or "")), sum(plain(token_counts.MARK + w) for w in WORD.findall(r[1] or ""))) for r in rows())
     trie = token_counts.Trie(scores, longest)
-    trie[b"abcde"], trie[b"abcdf"]
+    trie["abcde"], trie["abcdf"]
     assert trie.computed == 7  # the mark and abcd once, then e and f
     assert token_counts.count_tokens(none, path).count() == 0
 

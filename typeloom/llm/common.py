@@ -120,15 +120,31 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
             yield batch.slice(first, last - first)
 
 
-def word_codes(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def strings(values: pa.Array) -> list:
+    """The values as a list, through numpy: some twenty times faster than one scalar after the other."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins and ends (one place more than strings), and the bytes that these places are in."""
+    at, data = (np.frombuffer(b, dtype=kind) if b is not None else np.empty(0, dtype=kind) for b, kind in zip(values.buffers()[1:], (np.int32, np.uint8), strict=True))
+    return at[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(at) else np.zeros(1, dtype=np.int64), data
+
+
+def taken(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``first`` and hold ``counts`` each, one after the other."""
+    return values[np.repeat(first - (np.cumsum(counts, dtype=np.int64) - counts), counts) + np.arange(int(counts.sum()))]
+
+
+def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct white-space separated words of some texts, each word's number among them, and the first word of each text.
 
     The third array has one entry more than there are texts.
     """
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    coded = pc.dictionary_encode(split.flatten().cast(pa.binary()))
+    coded = pc.dictionary_encode(split.flatten())
     starts = np.asarray(split.offsets) - split.offsets[0].as_py()
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices), starts
+    return coded.dictionary, np.asarray(coded.indices), starts
 
 
 def totals(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -22,9 +22,10 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from typeloom.llm.common import kept_in_process, slices, totals, word_codes
+from typeloom.llm.common import kept_in_process, slices, strings, totals, word_codes
 
 MARK = "▁"
 UNKNOWN = -25.0
@@ -46,7 +47,7 @@ def zipf_scores(model_file: str) -> tuple[dict[str, float], int]:
 
 
 class Trie(dict):
-    """Terminal counts by word (UTF-8 bytes), and forward scores of every prefix that was inserted.
+    """Terminal counts by word, and forward scores of every prefix that was inserted.
 
     ``children`` maps a node and a character, packed in one number, to a node; ``score``
     and ``pieces`` have each node's best sum and its number of pieces. Node 0 is the empty prefix.
@@ -63,8 +64,8 @@ class Trie(dict):
         self.score, self.pieces = array("d", [0.0]), array("i", [0])
         self.computed = 0
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = self._insert(MARK + word.decode("utf-8", "replace"))
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self._insert(MARK + word)
         return n
 
     def _insert(self, token: str) -> int:
@@ -101,8 +102,8 @@ def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
                 trie.restart()
             for some in slices(batch, 1, SLICE):
                 words, codes, starts = word_codes(some.column(1))
-                full = np.array([len(w) > 0 for w in words], dtype=np.int64)
-                each = np.array([trie[w] if w else 0 for w in words], dtype=np.int64)
+                full = np.asarray(pc.binary_length(words)) > 0
+                each = np.array([trie[w] if w else 0 for w in strings(words)], dtype=np.int64)
                 counts = [pa.array(totals(x[codes], starts)) for x in (full, each)]
                 yield pa.RecordBatch.from_arrays([some.column(0), *counts], ["doc_id", "n_pretokens", "n_tokens"])
 

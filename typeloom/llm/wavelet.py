@@ -9,18 +9,21 @@ place and the number of ones before it, so rank, select, access, counting and oc
 look-up read only the blocks that they need. The documents' ids and lengths make one more
 compressed section, followed by a crc of all ids.
 
-Distributed writing: documents are range-partitioned and sorted by doc_id; a task encodes
-its documents and writes a file for about every ``SHARD_TOKENS`` ids, under a name that follows
-from the partition and its own sequence number. Files are written under a temporary name
-and renamed, so a repeated task replaces a file by the same bytes. Prefix sums over the
-files' counts give every document's start.
+Distributed writing: documents are range-partitioned by doc_id and sorted by it and a hash of
+the text; a task encodes its documents and writes a file for about every ``SHARD_TOKENS`` ids,
+under a name that follows from the partition and its own sequence number. Files are written
+under a temporary name and renamed, and rows that tie in the order are the same, so a repeated
+task replaces a file by the same bytes. The folder's file system is settled on the driver.
+Prefix sums over the files' counts give every document's start.
 
 Encoding: a tokenizer that splits at white space gives the same ids for a text as for its
 white-space separated words one by one; distinct words are encoded by the library and
-kept in the worker (about ``MAX_WORDS`` of them), as bytes that are joined.
+kept in the worker (about ``MAX_WORDS`` of them), in one flat array.
 
-Defined cases: null and empty texts have the end id only. Null doc_ids come first. Repeated
-rows are documents of their own. An empty table writes no file. Extra columns are ignored.
+Defined cases: null and empty texts have the end id only. Null doc_ids come first. Rows under
+one doc_id come by the hash of their texts (null first). Repeated rows are documents of their
+own. Very long texts lie in one file, whatever their length. An empty table writes no file.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,25 +32,25 @@ import io
 import json
 import os
 import struct
-import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import kept_in_process, scratch, slices, stored, totals, word_codes
+from typeloom.llm.common import bytes_of, kept_in_process, scratch, slices, stored, strings, taken, totals, word_codes
 
 MAGIC = b"WVMX1\0"
 BLOCK = 1 << 17
-SHARD_TOKENS = 1 << 21
+#: ids after which a file is closed: some 8 MB.
+SHARD_TOKENS = 1 << 23
 MAX_WORDS = 1_200_000
 #: Bytes of text encoded at a time.
 SLICE = 12_000_000
@@ -184,19 +187,19 @@ class WaveletMatrix:
         return json.loads(names), np.frombuffer(lengths, dtype="<u8").astype(np.int64)
 
 
-class WordEncoder(dict):
-    """ids of white-space separated words, as arrays of unsigned 32-bit numbers.
+class WordEncoder:
+    """ids of white-space separated words, kept as slices of one flat array.
 
-    Before the library is asked, ASCII capitals are lowered if the tokenizer lowers them
-    anyway, and a final run of marks after an ASCII letter is taken off, where the tokenizer
-    splits anyway; both are tried out on a probe when the tokenizer is opened. Letters are
-    composed (NFC) beforehand if the tokenizer composes them, so that more words are letters only.
+    Words are prepared in Arrow, all of a slice at once: ASCII capitals are lowered if the
+    tokenizer lowers them anyway, and a final run of marks after an ASCII letter is taken off,
+    where the tokenizer splits anyway; both are tried out on a probe when the tokenizer is
+    opened. Stems and runs of marks are numbered, and only new ones are looked up one by one.
+    Letters are composed (NFC) beforehand if the tokenizer composes them, so that more words are letters only.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
@@ -208,57 +211,99 @@ class WordEncoder(dict):
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool) if suffix else None
         for token, k in vocabulary.items() if suffix else ():
             self.ends[k] = token.endswith(suffix)
-
-    def _key(self, word: bytes) -> tuple[bytes, ...]:
-        if word.isalpha():
-            return (word.lower() if self.lowers else word,)
-        if b"<|" in word:
-            return (word,)
-        word = word.lower() if self.lowers else word
-        stem = word.rstrip(MARKS.encode()) if self.parts else word
-        return (stem, word[len(stem) :]) if len(stem) < len(word) and stem[-1:].isalpha() else (word,)
-
-    def _ask(self, new: list[bytes]) -> None:
-        """The library's ids of words that aren't kept yet.
-
-        Words of letters only are one piece for a tokenizer with word-end tokens. Many are
+        self.restart()
+
+    def restart(self) -> None:
+        """Number 0 is the empty piece."""
+        self.numbers: dict[str, int] = {"": 0}
+        self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
+        self.first, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+
+    def _keep(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Number ``keys`` on; ``ids`` are theirs, one key after the other."""
+        known, end = len(self.numbers), self.used + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(end, 2 * len(self.flat)) - self.used, dtype=np.uint32)))
+        if known + len(keys) > len(self.first):
+            more = np.zeros(max(known + len(keys), 2 * len(self.first)) - known, dtype=np.int64)
+            self.first, self.length = np.concatenate((self.first[:known], more)), np.concatenate((self.length[:known], more.astype(np.int32)))
+        self.flat[self.used : end] = ids
+        self.first[known : known + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.length[known : known + len(keys)] = lengths
+        self.numbers.update(zip(keys, range(known, known + len(keys)), strict=True))
+        self.used = end
+
+    def _ask(self, new: pa.Array) -> None:
+        """The library's ids of pieces that aren't kept yet.
+
+        Pieces of letters only are one word for a tokenizer with word-end tokens. Many are
         encoded as one text and told apart by these tokens, if there are as many as words.
         """
-        words = [k.decode("utf-8") for k in new]
-        if self.composes:
-            words = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in words]
-        alone = list(range(len(new)))
+        keys, composed = strings(new), pc.utf8_normalize(new, "NFC") if self.composes else new
+        words, alone = strings(composed), np.arange(len(new))
         if self.ends is not None:
-            plain = [i for i, w in enumerate(words) if w.isalpha()]
-            alone = [i for i, w in enumerate(words) if not w.isalpha()]
+            letters = np.asarray(pc.utf8_is_alpha(composed))
+            plain, alone = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters)
             runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+            kept, ids, lengths, failed = [], [], [], []
             for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, dtype="<u4")
-                last = np.flatnonzero(self.ends[ids])
+                own = np.array(found.ids, dtype=np.uint32)
+                last = np.flatnonzero(self.ends[own])
                 if len(last) != len(run):
-                    alone += run
+                    failed += run
                     continue
-                data, first = ids.tobytes(), 0
-                for i, end in zip(run, ((last + 1) * 4).tolist(), strict=True):
-                    self[new[i]] = data[first:end]
-                    first = end
-        for i, found in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
-            self[new[i]] = array("I", found.ids).tobytes()
+                kept += run
+                ids.append(own)
+                lengths.append(np.diff(last, prepend=-1))
+            if kept:
+                self._keep([keys[i] for i in kept], np.concatenate(ids), np.concatenate(lengths))
+            alone = np.concatenate((alone, np.array(failed, dtype=np.int64)))
+        each = [found.ids for found in self.tokenizer.encode_batch_fast([words[i] for i in alone.tolist()], add_special_tokens=False)]
+        self._keep([keys[i] for i in alone.tolist()], np.array([k for ids in each for k in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64))
+
+    def _numbers_of(self, pieces: pa.Array) -> np.ndarray:
+        coded = pc.dictionary_encode(pieces)
+        of = self.numbers.get
+        numbers = np.array([of(k, -1) for k in strings(coded.dictionary)], dtype=np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            asked = coded.dictionary.take(pa.array(new))
+            self._ask(asked)
+            numbers[new] = [self.numbers[k] for k in strings(asked)]
+        return numbers[np.asarray(coded.indices)]
+
+    def _pieces(self, words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Each word's stem, the runs of marks that were taken off, and the places of the words that they follow."""
+        stems = pc.ascii_lower(words) if self.lowers else words
+        special = np.asarray(pc.match_substring(words, "<|"))
+        if special.any():
+            stems = pc.if_else(pa.array(special), words, stems)
+        if not self.parts:
+            return stems, words.slice(0, 0), np.empty(0, dtype=np.int64)
+        bare = pc.ascii_rtrim(stems, characters=MARKS)
+        at, data = bytes_of(stems)
+        sizes, left = np.diff(at), np.asarray(pc.binary_length(bare), dtype=np.int64)
+        last = data[np.maximum(at[:-1] + left - 1, 0)] | 0x20 if len(data) else np.zeros(len(words), dtype=np.uint8)
+        own = np.flatnonzero((left > 0) & (left < sizes) & ~special & (last >= ord("a")) & (last <= ord("z")))
+        marks = taken(data, at[:-1][own] + left[own], (sizes - left)[own])
+        ends = np.concatenate(([0], np.cumsum((sizes - left)[own]))).astype(np.int32)
+        cut = np.zeros(len(words), dtype=bool)
+        cut[own] = True
+        return pc.if_else(pa.array(cut), bare, stems), pa.StringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(marks)), own
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after the other, and how many each has."""
-        if len(self) > MAX_WORDS:
-            self.clear()
+        if len(self.numbers) > MAX_WORDS:
+            self.restart()
         words, codes, starts = word_codes(texts)
-        keys = {w: self._key(w) for w in words if w not in self}
-        self._ask(list({k for key in keys.values() for k in key if k not in self}))
-        for w, key in keys.items():
-            self[w] = self[key[0]] if len(key) == 1 else self[key[0]] + self[key[1]]
-        each = [self[w] for w in words]
-        lengths, flat = np.array([len(x) // 4 for x in each], dtype=np.int64), np.frombuffer(b"".join(each), dtype="<u4")
+        stems, marks, own = self._pieces(words)
+        pieces = np.zeros((len(words), 2), dtype=np.int64)  # number 0 is the empty piece
+        pieces[:, 0] = self._numbers_of(stems)
+        pieces[own, 1] = self._numbers_of(marks)
+        of_pieces = self.length[pieces]
+        flat, lengths = taken(self.flat, self.first[pieces].ravel(), of_pieces.ravel()), of_pieces.sum(axis=1, dtype=np.int64)
         counts = lengths[codes]
-        first = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(counts) - counts)
-        return flat[np.repeat(first, counts) + np.arange(int(counts.sum()))], totals(counts, starts)
+        return taken(flat, (np.cumsum(lengths) - lengths)[codes], counts), totals(counts, starts)
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -267,11 +312,18 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[
     return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
+def settled(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a full URI: one without a scheme is on Spark's default file system, not on each executor's disk."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def put_file(folder: str, name: str, data: bytes) -> None:
-    """Write by a temporary name and rename; any file system that pyarrow knows."""
+    """Write by a temporary name and rename; ``folder`` is a URI of any file system that pyarrow knows."""
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
     half = f"{path}/_{name}.{uuid.uuid4().hex}"
     with where.open_output_stream(half) as out:
@@ -281,8 +333,9 @@ def put_file(folder: str, name: str, data: bytes) -> None:
 
 def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int | None = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the files; returns a row for each: part, seq, n_docs, n_tokens."""
+    folder = settled(docs.sparkSession, folder)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("t"))
-    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("t"), F.col("t").isNotNull()).withColumn("part", F.spark_partition_id())
 
     def written(batches: Iterable[pa.RecordBatch]):
         encoder = kept_in_process(f"encoder of {tokenizer_file}", lambda: WordEncoder(tokenizer_file))
@@ -299,7 +352,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
                 ids, lengths = with_end(*encoder.encode(some.column(1)), end_id)
                 parts.append(ids)
                 counts.append(lengths)
-                names += some.column(0).to_pylist()
+                names += some.column(0).to_pylist()  # longs, null where a doc_id is
                 size += len(ids)
                 if size >= shard_tokens:
                     yield flush()
