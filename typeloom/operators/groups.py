@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["user", "session", "q_id", "r_t", "version"]
@@ -18,23 +18,26 @@ def groups(events: DataFrame, responses: DataFrame, questions: DataFrame | None
     return out.join(questions, ["user", "session", "q_id"], "left") if questions is not None else out
 
 
+def typed_by_hand() -> Column:
+    """Version 1 of session 1, version 2 of any other."""
+    return F.when(F.col("session") == 1, F.col("version") == 1).otherwise(F.col("version") == 2)
+
+
 def human_typed(df: DataFrame) -> DataFrame:
-    """Version 1 of session 1, version 2 of any other; code and explanation only."""
-    typed = ((F.col("session") == 1) & (F.col("version") == 1)) | ((F.col("session") != 1) & (F.col("version") == 2))
-    return df.where(typed & F.col("r_t").isin(*RESPONSE_TYPES))
+    """Rows typed by hand, of code and explanations only."""
+    return df.where(typed_by_hand() & F.col("r_t").isin(*RESPONSE_TYPES))
 
 
 def dropped_counts(df: DataFrame) -> DataFrame:
-    return df.join(human_typed(df).select(KEY), KEY, "left_anti").groupBy("session", "version").agg(F.count("*").alias("n_dropped"))
+    """session, version, n_dropped: groups that aren't typed by hand."""
+    return df.where(~typed_by_hand()).groupBy("session", "version").agg(F.count("*").alias("n_dropped"))
 
 
-def short_groups(keydowns: DataFrame, minimum: int = 100) -> DataFrame:
-    """Groups below the sanity minimum; they are flagged, not dropped."""
-    return keydowns.groupBy(KEY).agg(F.count("*").alias("n_keydowns")).where(F.col("n_keydowns") < minimum)
+def short_groups(spine: DataFrame, keydowns: DataFrame, minimum: int = 100) -> DataFrame:
+    """Kept groups with fewer keydowns (columns KEY, n_keydowns) than the sanity minimum, none at all included; flagged, not dropped."""
+    n = F.coalesce("n_keydowns", F.lit(0))
+    return spine.select(KEY).join(keydowns, KEY, "left").select(*KEY, n.alias("n_keydowns")).where(F.col("n_keydowns") < minimum)
 
 
-def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    twice = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"more than one row for {twice[0].asDict()}")
-    return df
+def short_counts(spine: DataFrame, keydowns: DataFrame, minimum: int = 100) -> DataFrame:
+    return short_groups(spine, keydowns, minimum).groupBy("session", "version").agg(F.count("*").alias("n_short"))
