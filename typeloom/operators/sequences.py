@@ -1,4 +1,4 @@
-"""Keystroke sequences as windows: FIFO pairing, intervals, bursts, revision, pointer, cursor.
+"""Keystroke sequences as windows: FIFO pairing, intervals, bursts, revision, pointer, cursor; replay.
 
 Every window partitions by the group key (and code), so one hash exchange on the key serves
 them all. Order is (ts, seq), seq being the position in the log, which keeps ties stable.
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ class Knobs:
     entropy_bins: int = 10
     burst_gap_ms: float = 1000.0
     per_keys: float = 100.0
+    path_per_keys: float = 100.0
 
 
 TIER1 = (
@@ -129,7 +131,11 @@ def cursor_jumps(cursor: DataFrame, by: list[str]) -> DataFrame:
     """Share of transitions that are neither one column on nor the next line's start; nulls aren't bridged."""
     order = Window.partitionBy(*by).orderBy("ts", "seq")
     x = cursor.withColumn("pl", F.lag("line").over(order)).withColumn("pc", F.lag("ch").over(order))
-    linear = ((F.col("line") == F.col("pl")) & (F.col("ch") == F.col("pc") + 1)) | ((F.col("line") == F.col("pl") + 1) & (F.col("ch") == 0))
+    along = (F.col("line") == F.col("pl")) & (F.col("ch") == F.col("pc") + 1)
+    onward = (F.col("line") == F.col("pl") + 1) & (F.col("ch") == 0)
+    # Without the guard, a null beside a false would count as a jump.
+    whole = F.col("line").isNotNull() & F.col("ch").isNotNull() & F.col("pl").isNotNull() & F.col("pc").isNotNull()
+    linear = F.when(whole, along | onward)
     return x.groupBy(*by).agg(safe_ratio(F.count(F.when(~linear, 1)), F.count(linear)).alias("cursor_jump_rate"))
 
 
@@ -144,31 +150,75 @@ def tier1(keys: DataFrame, mouse: DataFrame, cursor: DataFrame, by: list[str], k
     x = x.withColumn("burst_bursts_per_100_keys", safe_ratio(knobs.per_keys * F.col("n_bursts"), n))
     x = x.withColumn("burst_relative_burst_length", safe_ratio(F.col("n_pairs") / F.col("n_bursts"), n))
     x = x.withColumn("mouse_moves_per_100_keys", safe_ratio(knobs.per_keys * F.coalesce("n_moves", F.lit(0)), n))
-    x = x.withColumn("mouse_path_length", safe_ratio(knobs.per_keys * F.col("path"), n))
+    x = x.withColumn("mouse_path_length", safe_ratio(knobs.path_per_keys * F.col("path"), n))
     return x.select(*by, *TIER1)
 
 
+class Sheet:
+    """Lines of text that keystrokes change at a caret given after the stroke, as the logs give it.
+
+    An Enter doesn't tell where its line was split, so the new line is empty; keys that type
+    nothing, such as arrows and modifiers, change nothing.
+    """
+
+    def __init__(self):
+        self.rows = [""]
+
+    def stroke(self, key: str, line: int, ch: int) -> None:
+        self.rows += [""] * (line + 1 - len(self.rows))
+        match key:
+            case "Backspace" if ch > 0:
+                self._cut(line, ch)
+            case "Backspace":
+                self._join(line - 1)
+            case "Delete" if ch < len(self.rows[line]):
+                self._cut(line, ch)
+            case "Delete":
+                self._join(line)
+            case "Enter" if line > 0:
+                self.rows.insert(line, "")
+            case _ if len(key) == 1:
+                at = max(0, ch - 1)
+                self.rows[line] = self.rows[line][:at] + key + self.rows[line][at:]
+
+    def _cut(self, line: int, at: int) -> None:
+        self.rows[line] = self.rows[line][:at] + self.rows[line][at + 1 :]
+
+    def _join(self, line: int) -> None:
+        if 0 <= line < len(self.rows) - 1:
+            self.rows[line : line + 2] = [self.rows[line] + self.rows[line + 1]]
+
+    def text(self) -> str:
+        return "\n".join(self.rows)
+
+
 def replay(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Text buffer left by the keydowns, and the group's key: order-dependent, so one group to one call."""
+    """The group's key and the text that its keydowns leave: order-dependent, so one group (an answer) to one call.
+
+    ``keys`` has line and ch too; strokes without them are left out.
+    """
     import pandas as pd
 
     def typed(name, pdf):
-        out, at = [], 0
-        for key in pdf.sort_values(["ts", "seq"], kind="stable")["key"]:
-            if key == "Backspace":
-                if at:
-                    at -= 1
-                    del out[at]
-            elif key == "Delete":
-                del out[at : at + 1]
-            elif key == "ArrowLeft":
-                at = max(0, at - 1)
-            elif key == "ArrowRight":
-                at = min(len(out), at + 1)
-            elif key in ("Enter", "Tab") or (key is not None and len(key) == 1):
-                out.insert(at, {"Enter": "\n", "Tab": "\t"}.get(key, key))
-                at += 1
-        return pd.DataFrame([[*name, "".join(out)]])
+        sheet = Sheet()
+        rows = pdf.sort_values(["ts", "seq"], kind="stable")
+        for key, line, ch in zip(rows["key"], rows["line"], rows["ch"], strict=True):
+            if key is not None:
+                sheet.stroke(key, int(line), int(ch))
+        return pd.DataFrame([[*name, sheet.text()]])
 
     kinds = dict(keys.dtypes)
-    return keydown_stream(keys).groupBy(*by).applyInPandas(typed, ", ".join([*(f"{c} {kinds[c]}" for c in by), "replayed string"]))
+    placed = keydown_stream(keys).where(F.col("line").isNotNull() & F.col("ch").isNotNull()).select(*by, "ts", "seq", "key", "line", "ch")
+    return placed.groupBy(*by).applyInPandas(typed, ", ".join([*(f"{c} {kinds[c]}" for c in by), "replayed string"]))
+
+
+def replay_agreement(replayed: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """One row: n, exact, mean_similarity, median_similarity of replayed and stored texts (difflib's ratio)."""
+    def ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+        from difflib import SequenceMatcher
+
+        return pa.array([SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    both = replayed.join(texts.select(*by, "text").where(F.col("text").isNotNull()), by)
+    scored = both.select((F.col("replayed") == F.col("text")).alias("same"), F.arrow_udf(ratios, "double").asNondeterministic()("replayed", "text").alias("r"))
+    return scored.agg(F.count("*").alias("n"), F.count_if("same").alias("exact"), F.avg("r").alias("mean_similarity"), F.percentile("r", F.lit(0.5)).alias("median_similarity"))
