@@ -1,6 +1,9 @@
 """Source-code features: one Arrow function turns a code text into token and tree facts, the rest are Column expressions.
 
 Facts come from the interpreter's own tokenizer and parser, so they are those of its version.
+Two families use them. The registered one (tier 2 and 3) has NULL wherever there is nothing to
+divide by; the lexical one (names with ``lex_``) has 0.0 there, and NULL only if the code can't
+be tokenized or parsed.
 """
 
 from __future__ import annotations
@@ -11,27 +14,34 @@ import io
 import keyword
 import re
 import tokenize
-from collections import Counter
-from math import log2
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from typeloom.functions.prose import chars, lines, occurrences
+from typeloom.functions.stats import bind, entropy, safe_ratio
+
 RESERVED = frozenset(keyword.kwlist) | frozenset(keyword.softkwlist)
 BUILTINS = frozenset(dir(builtins))
-#: Fixed values.
+#: Control-flow words, tokens without content, words that comments may have, patterns of names in prompts.
 CONTROL = RESERVED & frozenset("if elif else for while break continue try except finally raise return with yield match case".split())
 STRUCTURE = (tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING)
+COMMENT_TERMS = ("args", "kwargs", "bool", "str", "int", "nums", "numpy", "pandas", "idx")
 SNAKE = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
 CALLED = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
 ASSIGNED = r"(?m)^\s*(?:\d+\.\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*=(?!=)"
 
+LISTS = ("names", "tokens", "keywords", "defined", "comments")
+COUNTS = ("content", "plain_tokens", "control", "calls", "double_quoted", "strings", "nesting", "functions", "complexity")
 FACTS = T.StructType([
-    *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("names", "tokens", "keywords", "defined", "comments")],
-    *[T.StructField(n, T.IntegerType()) for n in ("content", "content_no_comments", "control", "calls", "double_quoted", "strings", "nesting", "functions", "complexity")],
+    *[T.StructField(n, T.ArrayType(T.StringType())) for n in LISTS],
+    *[T.StructField(n, T.IntegerType()) for n in COUNTS],
     T.StructField("indented", T.StringType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -46,36 +56,56 @@ def tokens_of(code: str) -> tuple[list[tokenize.TokenInfo], bool]:
     return found, True
 
 
+LEAD = re.compile(r"[ \t]*")
+STEPS = {tokenize.INDENT: 1, tokenize.DEDENT: -1}
+
+
+def levels_by_token(tokens: list[tokenize.TokenInfo]) -> dict[int, int]:
+    """Level of each line (from 1) on which a token begins: indents less dedents before its first token."""
+    depths = list(accumulate(STEPS.get(t.type, 0) for t in tokens))
+    return {t.start[0]: depth for t, depth in zip(reversed(tokens), reversed(depths), strict=True) if t.type not in STEPS}
+
+
+def levels_by_width(leads: dict[int, str]) -> dict[int, int]:
+    """Level of each line by how wide its indentation is: the rank among the different indentations."""
+    widths = sorted({lead for lead in leads.values() if lead}, key=lambda lead: (len(lead), lead))
+    rank = {lead: k for k, lead in enumerate(widths, 1)}
+    return {n: rank.get(lead, 0) for n, lead in leads.items()}
+
+
 def indented(code: str, tokens: list[tokenize.TokenInfo] | None, unit: str = "\t") -> str:
-    """Leading white space as one ``unit`` a level: by the tokenizer, else by the rank of the prefix's length."""
-    rows = code.splitlines(keepends=True)
-    bare = [r.lstrip(" \t") for r in rows]
-    lead = [r[: len(r) - len(b)] for r, b in zip(rows, bare, strict=True)]
-    level: dict[int, int] = {}
-    if tokens is not None:
-        depth = 0
-        for t in tokens:
-            depth = depth + 1 if t.type == tokenize.INDENT else max(0, depth - 1) if t.type == tokenize.DEDENT else depth
-            if t.type not in (tokenize.INDENT, tokenize.DEDENT):
-                level.setdefault(t.start[0] - 1, depth)
-    else:
-        used = sorted(dict.fromkeys(p for p, r in zip(lead, rows, strict=True) if r.strip() and p), key=len)
-        level = {i: used.index(p) + 1 for i, p in enumerate(lead) if p in used}
-    return "".join(r if not r.strip() else unit * level.get(i, 0) + b for i, (r, b) in enumerate(zip(rows, bare, strict=True)))
+    """``code`` with one ``unit`` a level in place of its indentation; blank lines stay.
 
+    Levels are the tokenizer's, or, for code that it doesn't take, ranks of the indentations.
+    """
+    rows = dict(enumerate(code.splitlines(keepends=True), 1))
+    leads = {n: LEAD.match(row)[0] for n, row in rows.items() if row.strip()}
+    levels = levels_by_width(leads) if tokens is None else levels_by_token(tokens)
+    return "".join(unit * levels.get(n, 0) + row[len(leads[n]) :] if n in leads else row for n, row in rows.items())
 
-def defined_names(tree: ast.AST) -> list[str]:
-    """Names that the program gives: stores, definitions, arguments, imports, handlers, stored attributes."""
-    out: list[str] = []
+
+def mentions(tree: ast.AST) -> Iterator[tuple[bool, str, bool]]:
+    """(is an attribute, name, gives it a meaning) of every place in a program that mentions a name."""
     for node in ast.walk(tree):
         match node:
-            case ast.Name(id=name, ctx=ast.Store()) | ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name) | ast.arg(arg=name) | ast.Attribute(attr=name, ctx=ast.Store()):
-                out.append(name)
+            case ast.Name(id=name, ctx=use):
+                yield False, name, isinstance(use, ast.Store)
+            case ast.Attribute(attr=name, ctx=use):
+                yield True, name, isinstance(use, ast.Store)
+            case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name) | ast.arg(arg=name) | ast.ExceptHandler(name=str() as name):
+                yield False, name, True
             case ast.alias(name=name, asname=other):
-                out.append(other or name.split(".")[0])
-            case ast.ExceptHandler(name=str() as name):
-                out.append(name)
-    return out
+                local = other or name.partition(".")[0]
+                yield False, local, local != "*"
+
+
+def defined_names(tree: ast.AST) -> list[str]:
+    """Every mention of a name that the program itself gives: variables, definitions, arguments, imports,
+    handlers; stored attributes and methods count where they are used as attributes."""
+    every = list(mentions(tree))
+    methods = {m.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for m in c.body if isinstance(m, DEFS)}
+    given = {(attribute, name) for attribute, name, gives in every if gives} | {(True, name) for name in methods}
+    return [name for attribute, name, _ in every if (attribute, name) in given]
 
 
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler)
@@ -100,26 +130,32 @@ def nesting(node: ast.AST, depth: int = 0) -> int:
     return most
 
 
-def facts(code: str | None) -> dict:
+def token_facts(found: list[tokenize.TokenInfo]) -> dict:
+    content = [t for t in found if t.type not in STRUCTURE]
+    names = [t.string for t in content if t.type == tokenize.NAME]
+    quoted = [t.string.lstrip("rRbBuUfF") for t in content if t.type in (tokenize.STRING, tokenize.FSTRING_START)]
+    before = ["", *[t.string for t in content]]
+    calls = [t for t, left, right in zip(content, before, content[1:], strict=False) if t.type == tokenize.NAME and right.string == "(" and left not in ("def", "class")]
+    return {
+        "tokens": [t.string for t in content],
+        "names": [n for n in names if n not in RESERVED and n not in BUILTINS],
+        "keywords": [n for n in names if keyword.iskeyword(n)],
+        "content": len(content),
+        "plain_tokens": sum(t.type != tokenize.COMMENT and bool(t.string.strip()) for t in content),
+        "control": sum(n in CONTROL for n in names),
+        "calls": sum(t.string not in RESERVED for t in calls),
+        "double_quoted": sum(q.startswith('"') for q in quoted),
+        "strings": len(quoted),
+    }
+
+
+def facts(code: str | None, unit: str = "\t") -> dict:
     code = code or ""
     found, complete = tokens_of(code)
-    out: dict = {"comments": [t.string for t in found if t.type == tokenize.COMMENT]}
-    out["indented"] = indented(code, found if complete else None)
+    out: dict = {"comments": [t.string.lstrip("#").strip() for t in found if t.type == tokenize.COMMENT]}
+    out["indented"] = indented(code, found if complete else None, unit)
     if complete:
-        content = [t for t in found if t.type not in STRUCTURE]
-        names = [t.string for t in content if t.type == tokenize.NAME]
-        quoted = [t.string.lstrip("rRbBuUfF") for t in content if t.type in (tokenize.STRING, tokenize.FSTRING_START)]
-        out |= {
-            "tokens": [t.string for t in content],
-            "names": [n for n in names if n not in RESERVED and n not in BUILTINS],
-            "keywords": [n for n in names if keyword.iskeyword(n)],
-            "content": len(content),
-            "content_no_comments": sum(t.type != tokenize.COMMENT for t in content),
-            "control": sum(n in CONTROL for n in names),
-            "calls": sum(a.type == tokenize.NAME and b.string == "(" and a.string not in RESERVED and (i == 0 or content[i - 1].string not in ("def", "class")) for i, (a, b) in enumerate(zip(content, content[1:], strict=False))),
-            "double_quoted": sum(q.startswith('"') for q in quoted),
-            "strings": len(quoted),
-        }
+        out |= token_facts(found)
     try:
         tree = ast.parse(code)
         each = complexities(tree)
@@ -129,89 +165,133 @@ def facts(code: str | None) -> dict:
     return out
 
 
-def with_facts(df: DataFrame, text: str, name: str = "facts") -> DataFrame:
-    """``df`` with a struct of facts about the code in column ``text``; parts that need valid code are NULL without it."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, FACTS)])
-    at = df.columns.index(text)
+def with_facts(df: DataFrame, text: str, name: str = "facts", unit: str = "\t") -> DataFrame:
+    """``df`` with a struct of facts about the code in column ``text``; parts that need valid code are NULL without it.
+
+    The text alone goes to Python; the other columns stay in the JVM. Should a fact fail in an
+    unforeseen way, the row's facts are NULL and its ``error`` says why; the job goes on.
+    """
+
+    def one(code: str | None) -> dict:
+        try:
+            return facts(code, unit)
+        except Exception as problem:  # reported row by row
+            return {"error": f"{type(problem).__name__}: {problem}"}
 
-    def run(batches):
+    def told(codes: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        arrow = to_arrow_type(FACTS)
-        for b in batches:
-            rows = [{f: None for f in FACTS.fieldNames()} | facts(c) for c in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, type=arrow)], [*b.schema.names, name])
+        rows = [dict.fromkeys(FACTS.fieldNames()) | one(c) for c in codes.to_pylist()]
+        return pa.array(rows, type=to_arrow_type(FACTS))
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn(name, F.arrow_udf(told, FACTS).asNondeterministic()(F.col(text)))
 
 
 def prompt_names(prompt: Column) -> Column:
-    """Identifiers that a prompt names: snake_case words, words before "(", left sides of assignments."""
-    found = F.concat(F.regexp_extract_all(prompt, F.lit(f"(?U)({SNAKE})"), F.lit(1)), F.regexp_extract_all(prompt, F.lit(f"(?U){CALLED}"), F.lit(1)), F.regexp_extract_all(prompt, F.lit(f"(?U){ASSIGNED}"), F.lit(1)))
+    """Identifiers that a prompt names: snake_case words, words before "(", left sides of assignments; sorted."""
+    named = lambda pattern: F.regexp_extract_all(prompt, F.lit(f"(?U){pattern}"), F.lit(1))
+    found = F.concat(named(f"({SNAKE})"), named(CALLED), named(ASSIGNED))
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, sorted(RESERVED | BUILTINS)))))
 
 
 def without_boilerplate(df: DataFrame, prompt: Column, f: str = "facts") -> DataFrame:
     """Adds own_names: the occurrences of names that the prompt doesn't give."""
-    given = df.withColumn("given_names", prompt_names(prompt))
+    given = df.withColumn("given_names", prompt_names(F.coalesce(prompt, F.lit(""))))
     return given.withColumn("own_names", F.filter(f"{f}.names", lambda x: ~F.array_contains(F.col("given_names"), x)))
 
 
+def _size(xs: Column) -> Column:
+    return F.when(xs.isNotNull(), F.size(xs))
+
+
+def _letters(xs: Column) -> Column:
+    return F.aggregate(F.transform(xs, lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
+
+
+def _short(xs: Column) -> Column:
+    return F.size(F.filter(xs, lambda x: F.length(x) < 4))
+
+
+def _hapax(xs: Column) -> Column:
+    return F.when(F.size(xs) > 0, bind(occurrences(xs), lambda n: safe_ratio(F.size(F.filter(n, lambda c: c == 1)), F.size(n))))
+
+
+def _unique(xs: Column) -> Column:
+    return safe_ratio(_size(F.array_distinct(xs)), _size(xs))
+
+
 def code_features(f: str = "facts", prompt: Column | None = None) -> dict[str, Column]:
-    """Tier 2 and lexical code features over a facts struct; NULL where the code can't be tokenized or has no such token.
+    """Registered code features over a facts struct; NULL where the code can't be tokenized or has no such token.
 
     With ``prompt``, also those relative to it; these need ``without_boilerplate`` first.
     """
-    from typeloom.functions.prose import occurrences
-    from typeloom.functions.stats import entropy, safe_ratio
-
     g = lambda n: F.col(f"{f}.{n}")
-    size = lambda xs: F.when(xs.isNotNull(), F.size(xs))
-    letters = lambda xs: F.aggregate(F.transform(xs, lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
-    hapax = lambda xs: safe_ratio(F.size(F.filter(occurrences(xs), lambda c: c == 1)), size(F.array_distinct(xs)))
-    unique = lambda xs: safe_ratio(size(F.array_distinct(xs)), size(xs))
     out = {
-        "identifier_diversity": unique(g("names")),
-        "identifier_reuse_hapax": F.when(F.size(g("names")) > 0, hapax(g("names"))),
-        "token_entropy": F.when(F.size(g("tokens")) > 0, entropy(occurrences(g("tokens")))),
+        "identifier_diversity": _unique(g("names")),
+        "identifier_reuse_hapax": _hapax(g("names")),
+        "token_entropy": F.when(F.size(g("tokens")) > 0, bind(occurrences(g("tokens")), entropy)),
         "control_flow_keyword_ratio": safe_ratio(g("control"), g("content")),
         "function_call_density": safe_ratio(g("calls"), g("content")),
-        "lex_total_identifier_count": size(g("defined")),
-        "lex_total_keyword_count": size(g("keywords")),
-        "lex_short_identifier_ratio": safe_ratio(F.size(F.filter(g("defined"), lambda x: F.length(x) < 4)), g("content_no_comments")),
-        "lex_short_keyword_ratio": safe_ratio(F.size(F.filter(g("keywords"), lambda x: F.length(x) < 4)), g("content_no_comments")),
-        "lex_average_identifier_length": safe_ratio(letters(g("defined")), size(g("defined"))),
-        "lex_average_keyword_length": safe_ratio(letters(g("keywords")), size(g("keywords"))),
-        "lex_identifier_diversity": unique(g("defined")),
-        "lex_keyword_diversity": unique(g("keywords")),
-        "lex_double_quote_preference_ratio": safe_ratio(g("double_quoted"), g("strings")),
-        "lex_average_cyclomatic_complexity": safe_ratio(g("complexity"), g("functions")),
-        "lex_maximum_nesting_depth": g("nesting"),
-        "lex_underscore_identifier_character_ratio": safe_ratio(F.aggregate(F.transform(g("defined"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("_"), F.lit("")))), F.lit(0), lambda a, x: a + x), letters(g("defined"))),
     }
     if prompt is not None:
         kept = F.col("own_names")
+        some = (F.length(g("indented")) > 0) & (F.length(prompt) > 0)
         out |= {
-            "identifier_diversity_no_boilerplate": unique(kept),
-            "identifier_reuse_hapax_no_boilerplate": F.when(F.size(kept) > 0, hapax(kept)),
-            "code_length_relative_to_prompt": F.when((F.length(g("indented")) > 0) & (F.length(prompt) > 0), safe_ratio(F.length(g("indented")), F.length(prompt))),
+            "identifier_diversity_no_boilerplate": _unique(kept),
+            "identifier_reuse_hapax_no_boilerplate": _hapax(kept),
+            "code_length_relative_to_prompt": F.when(some, safe_ratio(F.length(g("indented")), F.length(prompt))),
         }
     return {k: v.cast("double") for k, v in out.items()}
 
 
-def misspelled(df: DataFrame, ids: list[str], text: Column, dictionary: DataFrame) -> DataFrame:
-    """Words ([A-Za-z]+, lower-cased) that the dictionary (column word) lacks, counted by row."""
-    said = df.select(*ids, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
-    return said.join(dictionary.select("word").distinct(), "word", "left_anti").groupBy(*ids).agg(F.count("*").alias("n_misspelled"))
+def lexical_features(text: Column, f: str = "facts") -> dict[str, Column]:
+    """The lexical family over a facts struct and the code itself; 0.0 on empty, NULL on code that isn't valid."""
+    g = lambda n: F.col(f"{f}.{n}")
+    or_zero = lambda known, value: F.when(known.isNotNull(), F.coalesce(value, F.lit(0.0)))
+    code = F.coalesce(text, F.lit(""))
+    size, tokens = chars(code, spaced=True), g("plain_tokens")
+    underscores = F.aggregate(F.transform(g("defined"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("_"), F.lit("")))), F.lit(0), lambda a, x: a + x)
+    out = {}
+    for kind, xs in (("identifier", g("defined")), ("keyword", g("keywords"))):
+        out |= {
+            f"lex_total_{kind}_count": _size(xs),
+            f"lex_short_{kind}_ratio": F.when(tokens.isNotNull(), or_zero(xs, safe_ratio(_short(xs), tokens))),
+            f"lex_{kind}_character_ratio": or_zero(xs, safe_ratio(_letters(xs), size)),
+            f"lex_average_{kind}_length": or_zero(xs, safe_ratio(_letters(xs), F.size(xs))),
+            f"lex_{kind}_diversity": or_zero(xs, _unique(xs)),
+        }
+    out |= {
+        "lex_double_quote_preference_ratio": safe_ratio(g("double_quoted"), g("strings")),
+        "lex_average_line_length_tokens": or_zero(tokens, safe_ratio(tokens, F.size(lines(code)))),
+        "lex_average_cyclomatic_complexity": safe_ratio(g("complexity"), g("functions")),
+        "lex_maximum_nesting_depth": g("nesting"),
+        "lex_underscore_identifier_character_ratio": or_zero(g("defined"), safe_ratio(underscores, _letters(g("defined")))),
+    }
+    return {k: v.cast("double") for k, v in out.items()}
+
 
+def identifier_lengths(f: str = "facts") -> Column:
+    """array<struct<item int, share double>>: identifiers of each length from 1 to 20, over all tokens; 0.0 without any."""
+    sizes = F.transform(F.col(f"{f}.defined"), lambda x: F.length(x))
+    tokens = F.col(f"{f}.plain_tokens")
+    share = lambda n, k: F.coalesce(safe_ratio(F.size(n) - F.size(F.array_remove(n, k)), tokens), F.lit(0.0))
+    each = lambda n: F.array(*[F.struct(F.lit(k).alias("item"), share(n, k).alias("share")) for k in range(1, 21)])
+    return F.when(F.col(f"{f}.defined").isNotNull() & tokens.isNotNull(), bind(sizes, each))
 
-def word_entropy(words: list[str]) -> float:
-    """Entropy of a list in plain Python, for checks."""
-    n = Counter(words)
-    total = sum(n.values())
-    return -sum(c / total * log2(c / total) for c in n.values())
+
+def misspelled(df: DataFrame, ids: list[str], text: Column, dictionary: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """Words ([A-Za-z]+, lower-cased) that the dictionary (column word) lacks, counted by row; rows without any too.
+
+    ``text`` is a string or an array of strings, such as the comments of a code.
+    """
+    parts = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    said = df.select(*ids, F.explode(parts).alias("word"))
+    if allowed:
+        said = said.where(~F.col("word").isin(*allowed))
+    unknown = said.join(dictionary.select("word").distinct(), "word", "left_anti").groupBy(*ids).agg(F.count("*").alias("n_misspelled"))
+    return df.select(*ids).distinct().join(unknown, ids, "left").select(*ids, F.coalesce("n_misspelled", F.lit(0)).alias("n_misspelled"))
 
 
-def word_tokens(text: str) -> list[str]:
-    """Words and marks of English prose by a regex: NOT the tokenizer of a language toolkit, only for those who opt in."""
-    return re.findall(r"[A-Za-z]+(?:'[a-z]+)?|\d+|[^\w\s]", text)
+def misspelled_comments(df: DataFrame, ids: list[str], dictionary: DataFrame, f: str = "facts") -> DataFrame:
+    """Misspelt words in the comments of a code, usual terms of programs aside."""
+    return misspelled(df, ids, F.array_join(f"{f}.comments", "\n"), dictionary, COMMENT_TERMS)

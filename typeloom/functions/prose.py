@@ -1,10 +1,14 @@
-"""Lexical and structural features of prose and of lines, as Column builders over a text column (0.0 on empty)."""
+"""Lexical and structural features of prose and of lines over a text column.
+
+Each family is one struct, built from words, sentences or lines that are found once a row. The
+families have 0.0 on empty; the registered forms (``registered_lines``) have NULL there.
+"""
 
 from __future__ import annotations
 
 from string import ascii_lowercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.functions.stats import bind, entropy
@@ -15,6 +19,7 @@ PUNCTUATION = "\",.?!:;'"
 FUNCTION_WORDS = """a about above after all although am among an and another any anybody anyone anything are around as at be because before behind below beside between both but by can cos do down each either enough every everybody everyone everything few following for from have he her him i if in including inside into is it its latter less like little lots many me more most much must my near need neither no nobody none nor nothing of off on once one onto opposite or our outside over own past per plenty plus regarding same several she should since so some somebody someone something such than that the their them these they this those though through till to toward towards under unless unlike until up upon us used via we what whatever when where whether which while who whoever whom whose will with within without worth would yes you your""".split()
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+NOT_SPACE = r"[^\s\p{Z}\x1c-\x1f\x85]"
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -23,7 +28,13 @@ def ratio(a: Column, b: Column) -> Column:
 
 def chars(t: Column, spaced: bool = False) -> Column:
     """Characters; with ``spaced``, a run of four blanks counts once (code)."""
-    return F.length(F.regexp_replace(t, " {4}", "\t") if spaced else t)
+    return F.length(F.replace(t, F.lit("    "), F.lit("\t")) if spaced else t)
+
+
+def total_characters(t: Column, response_type: str) -> Column:
+    if response_type not in ("code", "explanation"):
+        raise ValueError(f"unknown response type {response_type!r}")
+    return chars(t, spaced=response_type == "code").cast("long")
 
 
 def class_ratio(t: Column, pattern: str) -> Column:
@@ -35,23 +46,27 @@ def words(t: Column) -> Column:
 
 
 def sentences(t: Column) -> Column:
-    trimmed = F.transform(F.split(t, "[.!?]+"), lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
-    return F.filter(trimmed, lambda s: s != "")
+    """Trimmed, not empty parts between runs of full stops, exclamation and question marks."""
+    some = F.filter(F.split(t, "[.!?]+"), lambda s: s.rlike(NOT_SPACE))
+    return F.transform(some, lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
 
 
 def lines(t: Column) -> Column:
     """Lines as Python's splitlines gives them."""
-    parts = F.split(t, LINE_BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ended = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bind(F.split(t, LINE_BREAKS, -1), ended)
+
+
+def line_kind(s: Column) -> Column:
+    return F.when(~s.rlike(NOT_SPACE), F.lit("BLANK")).when(s.rlike(f"^{SPACE}*#"), F.lit("COMMENT")).otherwise(F.lit("CODE"))
 
 
 def line_kinds(t: Column) -> Column:
-    bare = F.transform(lines(t), lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
-    return F.transform(bare, lambda s: F.when(s == "", F.lit("BLANK")).when(s.startswith("#"), F.lit("COMMENT")).otherwise(F.lit("CODE")))
+    return F.transform(lines(t), line_kind)
 
 
 def of_kind(kinds: Column, kind: str) -> Column:
-    return F.size(F.filter(kinds, lambda k: k == kind))
+    return F.size(F.filter(kinds, lambda k: k == kind)).cast("long")
 
 
 def occurrences(xs: Column) -> Column:
@@ -61,44 +76,92 @@ def occurrences(xs: Column) -> Column:
     return bind(F.sort_array(xs), lambda s: bind(runs(s), gaps))
 
 
-def word_features(t: Column) -> dict[str, Column]:
-    """Named features; ``t`` must not be null."""
-    w, s, c = words(t), sentences(t), occurrences(words(t))
-    n = F.size(w)
-    letters = F.aggregate(F.transform(w, lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
-    squares = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
-    return {
-        "total_word_count": n.cast("long"),
-        "short_word_ratio": ratio(F.size(F.filter(w, lambda x: F.length(x) < 4)), n),
-        "word_character_ratio": ratio(letters, F.length(t)),
-        "average_word_length": ratio(letters, n),
-        "word_diversity": ratio(F.size(c), n),
-        "hapax_ratio": ratio(F.size(F.filter(c, lambda x: x == 1)), n),
-        "word_entropy": F.coalesce(entropy(c), F.lit(0.0)),
-        "yules_k": ratio(F.lit(10000.0) * (squares - n), n.cast("double") * n),
-        "total_sentence_count": F.size(s).cast("long"),
-        "average_sentence_length_characters": ratio(F.aggregate(F.transform(s, lambda x: F.length(x)), F.lit(0), lambda a, x: a + x), F.size(s)),
-        "average_sentence_length_words": ratio(n, F.size(s)),
-        "total_characters": F.length(t).cast("long"),
-        "alphabetic_character_ratio": class_ratio(t, r"\p{L}"),
-        "uppercase_character_ratio": class_ratio(t, r"\p{Lu}"),
-        "digit_character_ratio": class_ratio(t, r"\p{Nd}"),
-    }
-
-
-def line_features(t: Column) -> dict[str, Column]:
-    k = line_kinds(t)
-    total = F.size(k)
-    return {
-        "total_line_count": total.cast("long"),
-        "blank_line_count": of_kind(k, "BLANK").cast("long"),
-        "pure_comment_line_count": of_kind(k, "COMMENT").cast("long"),
-        "blank_line_ratio": ratio(of_kind(k, "BLANK"), total),
-        "comment_line_ratio": ratio(of_kind(k, "COMMENT"), total),
-        "comment_to_code_ratio": F.try_divide(of_kind(k, "COMMENT").cast("double"), of_kind(k, "CODE").cast("double")),
-        "tab_count": F.regexp_count(t, F.lit("\t| {4}")).cast("long"),
-        "average_line_length_characters": ratio(F.aggregate(F.transform(lines(t), lambda s: chars(s, True)), F.lit(0), lambda a, x: a + x), total),
-    }
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _lengths(xs: Column) -> Column:
+    return _total(F.transform(xs, lambda x: F.length(x)))
+
+
+def word_features(t: Column) -> Column:
+    """A struct of word, sentence and character features; ``t`` must not be null."""
+
+    def counted(v: Column) -> Column:
+        more = F.struct(occurrences(v["w"]).alias("c"), _lengths(v["w"]).alias("letters"), F.size(v["w"]).cast("long").alias("n"))
+        return bind(more, lambda x: features(v, x))
+
+    def features(v: Column, x: Column) -> Column:
+        n, size, w, s, c = x["n"], F.length(v["t"]).cast("long"), v["w"], v["s"], x["c"]
+        squares = _total(F.transform(c, lambda k: k.cast("long") * k))
+        named = {
+            "total_word_count": n,
+            "short_word_ratio": ratio(F.size(F.filter(w, lambda y: F.length(y) < 4)), n),
+            "word_character_ratio": ratio(x["letters"], size),
+            "average_word_length": ratio(x["letters"], n),
+            "word_diversity": ratio(F.size(c), n),
+            "hapax_ratio": ratio(F.size(F.filter(c, lambda y: y == 1)), n),
+            "word_entropy": F.coalesce(entropy(c), F.lit(0.0)),
+            "yules_k": ratio(F.lit(10000.0) * (squares - n), n.cast("double") * n),
+            "total_sentence_count": F.size(s).cast("long"),
+            "average_sentence_length_characters": ratio(_lengths(s), F.size(s)),
+            "average_sentence_length_words": ratio(n, F.size(s)),
+            "total_characters": size,
+            "alphabetic_character_ratio": class_ratio(v["t"], r"\p{L}"),
+            "uppercase_character_ratio": class_ratio(v["t"], r"\p{Lu}"),
+            "digit_character_ratio": class_ratio(v["t"], r"\p{Nd}"),
+        }
+        return F.struct(*[value.alias(name) for name, value in named.items()])
+
+    return bind(F.struct(t.alias("t"), words(t).alias("w"), sentences(t).alias("s")), counted)
+
+
+def line_features(t: Column) -> Column:
+    """A struct of line and tab features; ``t`` must not be null."""
+
+    def kinds(v: Column) -> Column:
+        return bind(F.transform(v["lines"], line_kind), lambda k: features(v, k))
+
+    def features(v: Column, k: Column) -> Column:
+        total = F.size(v["lines"]).cast("long")
+        spaces = F.regexp_count(v["t"], F.lit(" {4}")).cast("long")
+        tabs = (F.length(v["t"]) - F.length(F.replace(v["t"], F.lit("\t"), F.lit("")))).cast("long") + spaces
+        blank, comment, code = (of_kind(k, x) for x in ("BLANK", "COMMENT", "CODE"))
+        named = {
+            "total_line_count": total,
+            "blank_line_count": blank,
+            "pure_comment_line_count": comment,
+            "blank_line_ratio": ratio(blank, total),
+            "comment_line_ratio": ratio(comment, total),
+            "comment_to_code_ratio": F.try_divide(comment.cast("double"), code.cast("double")),
+            "total_characters": chars(v["t"], spaced=True).cast("long"),
+            "four_space_tab_count": spaces,
+            "tab_count": tabs,
+            "tab_character_ratio": ratio(tabs, chars(v["t"], spaced=True)),
+            "average_line_length_characters": ratio(_total(F.transform(v["lines"], lambda s: chars(s, spaced=True))), total),
+        }
+        return F.struct(*[value.alias(name) for name, value in named.items()])
+
+    return bind(F.struct(t.alias("t"), lines(t).alias("lines")), kinds)
+
+
+def registered_lines(t: Column) -> Column:
+    """A struct of the registered line features: NULL, not 0.0, where there are no lines (or, for the last, no code)."""
+
+    def features(k: Column) -> Column:
+        share = lambda kind, of: F.try_divide(of_kind(k, kind).cast("double"), of.cast("double"))
+        return F.struct(
+            share("COMMENT", F.size(k)).alias("comment_density"),
+            share("BLANK", F.size(k)).alias("blank_line_ratio"),
+            share("COMMENT", of_kind(k, "CODE")).alias("comment_to_code_ratio"),
+        )
+
+    return bind(line_kinds(F.coalesce(t, F.lit(""))), features)
+
+
+def question_means(df: DataFrame, by: list[str], **features: Column) -> DataFrame:
+    """Means of text features over all answers of a participant (or whatever ``by`` says), one row each."""
+    return df.groupBy(*by).agg(*[F.avg(c.cast("double")).alias(name) for name, c in features.items()])
 
 
 def distribution(t: Column, kind: str) -> Column:
@@ -106,7 +169,7 @@ def distribution(t: Column, kind: str) -> Column:
     share = lambda item, count, total: F.struct(F.lit(item).alias("item"), ratio(count, total).alias("share"))
     literally = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
     if kind == "letter":
-        return F.array(*[share(c, literally(F.lower(t), c), F.length(t)) for c in ascii_lowercase])
+        return bind(F.lower(t), lambda low: F.array(*[share(c, literally(low, c), F.length(t)) for c in ascii_lowercase]))
     if kind in ("special", "punctuation"):
         return F.array(*[share(c, literally(t, c), F.length(t)) for c in (SPECIAL_CHARACTERS if kind == "special" else PUNCTUATION)])
     if kind == "word_length":
