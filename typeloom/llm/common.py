@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,11 +81,18 @@ _HOMES: dict[str, bool] = {}
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of a shared file system; nothing happens once the session has ended."""
-    if spark.sparkContext._jsc is None:
+    """Delete a folder of a shared file system, by Spark's view of it or, once the session has ended, by pyarrow's."""
+    if spark.sparkContext._jsc is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         return
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    from pyarrow import fs
+
+    try:
+        where, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        where.delete_dir(at)
+    except (OSError, pa.ArrowInvalid):
+        return  # already gone, or a file system that only Spark knows: its owner clears spark.checkpoint.dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -96,7 +104,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what led to it."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _STORED[id(out)] = weakref.ref(out), at
+    return out
+
+
+#: Where the tables of ``stored`` are, by the DataFrame that was given out.
+_STORED: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these DataFrames; nothing that is still to be computed may read them."""
+    for df in tables:
+        ref, at = _STORED.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            remove(df.sparkSession, at)
+
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """``base``, lengthened until no column of ``frames`` is called so in any case."""
+    taken_names = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken_names:
+        base += "_"
+    return base
+
+
+def with_own(df: DataFrame, **own: Column) -> DataFrame:
+    """``df`` with further columns; one of the same name is replaced."""
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in {k.lower() for k in own}], *[v.alias(k) for k, v in own.items()])
 
 
 def kept_in_process(name: str, make: Callable[[], object]) -> object:
