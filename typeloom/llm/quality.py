@@ -15,7 +15,10 @@ literals of bounded size, more as a scalar subquery's array of 44 numbers a lang
 
 Base counts: see ``base_counts``. Defined cases: null and empty texts have no words and
 fail the base rule; null languages add to no reference; with no reference at all only the
-base rule counts. Repeated rows each give their row; extra columns are ignored.
+base rule counts. Of languages with the same sum of distances the one with the lesser character
+distance is nearest, then the first in alphabetical order. A very long text is one row like any
+other. Repeated rows each give their row; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from typeloom.llm.common import BLANKS, bind, stored, whole_text, words_of
 MIN_CHARS = 150
 MIN_WORDS = 50
 CHAR_LIMIT = 0.2
-WORD_LIMIT = 0.3
+WORD_LIMIT = 0.29
 MAX_LANGS = 64
 WINDOW = 8
 
@@ -60,14 +63,15 @@ def class_counts(text: Column, classes=CLASSES) -> Column:
 
 
 def common_counts(words: Column) -> Column:
-    """Counts of each common word (in lower case or capitalised), then of all words.
+    """Counts of each common word (in lower case or capitalised), then of all other words.
 
     The common words are joined, each between two blanks, and counted by what taking one out shortens.
     """
     both = [x for w in COMMON for x in (w, w.capitalize())]
     spelt = F.concat(F.lit(" "), F.lower(F.array_join(F.filter(words, lambda w: w.isin(*both)), "  ")), F.lit(" "))
     times = lambda s, w: ((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long")
-    return F.concat(bind(spelt, lambda s: F.array(*[times(s, w) for w in COMMON])), F.array((F.size(words)).cast("long")))
+    each = bind(spelt, lambda s: F.array(*[times(s, w) for w in COMMON]))
+    return bind(each, lambda c: F.concat(c, F.array(F.size(words) - _sum(c, F.lit(0).cast("long")))))
 
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
