@@ -14,6 +14,7 @@ class ConfigError(Exception):
     """A settings file that can't be read, or that lacks keys."""
 
 
+#: Keys and defaults of the settings.
 DEFAULTS = {
     "tier1": {
         "keys": {"exclude_repeats": True, "deletion_keys": ["Backspace", "Delete"], "insertion_special_keys": ["Enter", "Tab"]},

@@ -28,6 +28,7 @@ class Knobs:
     path_per_keys: float = 100.0
 
 
+#: Names of the rhythm features, in the order of emission.
 TIER1 = (
     "kit_cv", "kit_p90_p50", "kit_p50_p10", "kit_long_pause_fraction", "kit_pause_time_fraction", "kit_pause_entropy",
     "kht_cv", "kht_p90_p50", "kht_p50_p10", "rkdt_cv",

@@ -22,6 +22,7 @@ BY_NAME = {
     "code_length_relative_to_prompt": ("tier2.indentation.canonical_unit",),
     **dict.fromkeys(("ttr", "hapax_ratio", "word_entropy", "non_stopword_ratio"), ("tier2.text",)),
 }
+#: Names of the registered features, in the order of emission.
 CODE = ("identifier_diversity", "identifier_diversity_no_boilerplate", "identifier_reuse_hapax", "identifier_reuse_hapax_no_boilerplate", "token_entropy", "comment_density", "control_flow_keyword_ratio", "function_call_density")
 EXPLANATION = ("ttr", "hapax_ratio", "word_entropy", "non_stopword_ratio", "sentence_length_cv", "noun_ratio", "verb_ratio", "adj_ratio", "adv_ratio")
 FORMAT = ("code_length_relative_to_prompt", "blank_line_ratio", "comment_to_code_ratio")
