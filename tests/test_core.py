@@ -275,6 +275,16 @@ def test_code_facts(spark):
     assert {r.i: r.n_misspelled for r in C.misspelled_comments(df, ["i"], dictionary).collect()} == {0: 2} | dict.fromkeys(range(1, 6), 0)
 
 
+def test_preliminary_table(spark):
+    answers = [("u", 1, "ab = 'x'\n\nab = cd = 1\n"), ("u", 1, "cd = \"y\" # z\n# w\n"), ("u", 1, "broken ("), ("v", 2, None)]
+    got = {r.user: r for r in C.preliminary(spark.createDataFrame(answers, "user string, session int, text string"), ["user", "session"]).collect()}
+    u = got["u"]
+    assert (u.n_answers, u.double_quote_preference_ratio, u.average_identifier_length) == (3, 0.5, 2.0)
+    assert u.identifier_diversity == pytest.approx((2 / 3 + 1) / 2) and u.pooled_identifier_diversity == 0.5
+    assert u.blank_line_ratio == pytest.approx((1 / 3) / 3) and u.comment_line_ratio == pytest.approx((1 / 2) / 3)
+    assert got["v"].identifier_diversity == 0.0 and got["v"].pooled_identifier_diversity is None
+
+
 def test_registered_code_features(spark):
     codes = ["if n:\n    total = total + n\nprint(total)\n", "# only this\n", "oops("]
     df = spark.createDataFrame([(i, t, "Write total_sum(x), then 'width = 3' and print() it") for i, t in enumerate(codes)], "i int, t string, p string")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.prose import chars, lines, occurrences
+from typeloom.functions.prose import chars, line_features, lines, occurrences
 from typeloom.functions.stats import bind, entropy, safe_ratio
 
 RESERVED = frozenset(keyword.kwlist) | frozenset(keyword.softkwlist)
@@ -295,3 +295,21 @@ def misspelled(df: DataFrame, ids: list[str], text: Column, dictionary: DataFram
 def misspelled_comments(df: DataFrame, ids: list[str], dictionary: DataFrame, f: str = "facts") -> DataFrame:
     """Misspelt words in the comments of a code, usual terms of programs aside."""
     return misspelled(df, ids, F.array_join(f"{f}.comments", "\n"), dictionary, COMMENT_TERMS)
+
+
+def preliminary(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """One row for each participant and session (``by``): means over the answers, NULLs left out, and the diversity
+    of the identifiers of all answers together."""
+    told = with_facts(df.select(*by, F.col(text).alias("code")), "code")
+    lexical = lexical_features(F.col("code"))
+    named = {
+        "double_quote_preference_ratio": lexical["lex_double_quote_preference_ratio"],
+        "average_identifier_length": lexical["lex_average_identifier_length"],
+        "identifier_diversity": lexical["lex_identifier_diversity"],
+        "blank_line_ratio": F.col("lines.blank_line_ratio"),
+        "comment_line_ratio": F.col("lines.comment_line_ratio"),
+    }
+    each = told.withColumn("lines", line_features(F.coalesce("code", F.lit("")))).select(*by, *[c.alias(n) for n, c in named.items()])
+    means = each.groupBy(*by).agg(F.count("*").alias("n_answers"), *[F.avg(n).alias(n) for n in named])
+    names = told.select(*by, F.explode("facts.defined").alias("name")).groupBy(*by).agg(safe_ratio(F.countDistinct("name"), F.count("*")).alias("pooled_identifier_diversity"))
+    return means.join(names, by, "left")

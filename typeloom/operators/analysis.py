@@ -16,7 +16,8 @@ def cohens_d(long: DataFrame, label: str, base) -> DataFrame:
     """feature, label, d of each label against ``base``: mean difference over sqrt of the mean of both variances (ddof 1)."""
     m = long.where(F.col("value").isNotNull()).groupBy("feature", label).agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
     b = m.where(F.col(label) == F.lit(base)).select("feature", F.col("mean").alias("bm"), F.col("var").alias("bv"))
-    return m.where(F.col(label) != F.lit(base)).join(b, "feature").select("feature", label, F.try_divide(F.col("mean") - F.col("bm"), F.nullif(F.sqrt((F.col("var") + F.col("bv")) / 2), F.lit(0.0))).alias("d"))
+    others = m.where(F.col(label) != F.lit(base)).join(b, "feature")
+    return others.select("feature", label, F.try_divide(F.col("mean") - F.col("bm"), F.nullif(F.sqrt((F.col("var") + F.col("bv")) / 2), F.lit(0.0))).alias("d"))
 
 
 def one_vs_rest_d(long: DataFrame, label: str) -> DataFrame:

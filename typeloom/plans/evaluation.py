@@ -60,8 +60,9 @@ def confusion_matrix(predictions: DataFrame, labels: list[int]) -> list[list[int
 def error_rates(predictions: DataFrame, genuine: int = 0) -> DataFrame:
     """One row: frr (genuine ones refused), far (others accepted), accuracy; NULL at zero denominators."""
     own, accepted = F.col("y_true") == genuine, F.col("y_pred") == genuine
-    many = lambda c: F.count(F.when(c, 1)).cast("double")
-    return predictions.agg(F.try_divide(many(own & ~accepted), many(own)).alias("frr"), F.try_divide(many(~own & accepted), many(~own)).alias("far"), F.try_divide(many(F.col("y_true") == F.col("y_pred")), F.count("*").cast("double")).alias("accuracy"))
+    share = lambda hit, of: F.try_divide(F.count_if(hit).cast("double"), F.count_if(of).cast("double"))
+    right = F.col("y_true") == F.col("y_pred")
+    return predictions.agg(share(own & ~accepted, own).alias("frr"), share(~own & accepted, ~own).alias("far"), share(right, F.lit(True)).alias("accuracy"))
 
 
 def condition_far(predictions: DataFrame, genuine: int = 0) -> DataFrame:
@@ -89,7 +90,9 @@ def rates_of_matrix(matrix: list[list[int]], labels: list[int], genuine: int = 0
 
 def f1_scores(predictions: DataFrame) -> DataFrame:
     """One row: macro and weighted F1 over the labels that occur."""
-    sides = predictions.select(F.explode(F.array(F.struct(F.col("y_true").alias("y"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("y_pred").alias("y"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), (F.col("y_true") == F.col("y_pred")).alias("hit"))
+    side = lambda label, t, p: F.struct(F.col(label).alias("y"), F.lit(t).alias("t"), F.lit(p).alias("p"))
+    both = F.explode(F.array(side("y_true", 1, 0), side("y_pred", 0, 1)))
+    sides = predictions.select(both.alias("s"), (F.col("y_true") == F.col("y_pred")).alias("hit"))
     per = sides.groupBy("s.y").agg(F.sum("s.t").alias("t"), F.sum("s.p").alias("p"), F.sum(F.when(F.col("hit") & (F.col("s.t") == 1), 1).otherwise(0)).alias("tp"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("t") + F.col("p")), F.lit(0.0))
     return per.agg(F.avg(f1).alias("macro_f1"), F.try_divide(F.sum(f1 * F.col("t")), F.sum("t")).alias("weighted_f1"))
