@@ -13,7 +13,8 @@
 
 Defined cases: null or empty texts have the end token only (length 1). A document longer
 than the budget makes a batch of its own. Repeated rows are rows like any other; their
-numbers are given in any order among themselves. An empty table gives no rows.
+numbers are given in any order among themselves. A null doc_id is a value like any other. A very
+long text is one row. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,13 +92,19 @@ def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET, toke
     for k in range(len(uppers) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= uppers[k], k).otherwise(bucket)
     salts = max(1, -(-sum(r.n for r in histogram) // SALT_ROWS))
-    salted = sized.withColumn("bucket", bucket.cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    salted = sized.withColumn("bucket", bucket.cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(salts)).cast("int"))
     dealt = F.element_at(F.array(*map(F.lit, uppers)), F.col("bucket") + 1).cast("long")
     # Prefix sums of the salts' counts: a row for each bucket and salt, n / SALT_ROWS of them a bucket.
     counts = salted.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("bucket").alias("b"), F.col("salt").alias("s"), F.coalesce("before", F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("bucket").alias("b"), F.col("salt").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     numbered = salted.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "n_tokens")) - 1)
     placed = numbered.join(before, (F.col("bucket") == F.col("b")) & (F.col("salt") == F.col("s")))
     rank = F.col("before") + F.col("k")
     placed = placed.withColumn("bucket_len", dealt).withColumn("rank", rank).withColumn("size", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))))
-    return placed.select("doc_id", "n_tokens", "bucket", "bucket_len", F.floor(F.col("rank") / F.col("size")).cast("long").alias("batch"), F.pmod("rank", "size").cast("int").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
+    return placed.select(
+        "doc_id", "n_tokens", "bucket", "bucket_len",
+        F.floor(F.col("rank") / F.col("size")).cast("long").alias("batch"),
+        F.pmod("rank", "size").cast("int").alias("slot"),
+        (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+    )

@@ -183,6 +183,11 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
         near = bind(F.struct(shares(F.col("chars")).alias("c"), shares(F.col("commons")).alias("w"), F.col("every")), nearest)
     else:
         near = F.lit(None).cast("struct<sum:double,c:double,w:double,lang:string>")
-    far = ((F.col("near.c") > char_limit) & (_sum(F.col("chars"), F.lit(0).cast("long")) >= MIN_CHARS)) | ((F.col("near.w") > word_limit) & (F.col("n_words") >= MIN_WORDS))
+    odd_chars = (F.col("near.c") > char_limit) & (_sum(F.col("chars"), F.lit(0).cast("long")) >= MIN_CHARS)
+    far = odd_chars | ((F.col("near.w") > word_limit) & (F.col("n_words") >= MIN_WORDS))
     out = (counted if refs is None else counted.withColumn("every", refs)).withColumn("near", near).withColumn("base_failed", failed)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.col("near.lang").alias("nearest_lang"), F.col("near.c").alias("char_distance"), F.col("near.w").alias("word_distance"))
+    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
+        F.col("near.lang").alias("nearest_lang"), F.col("near.c").alias("char_distance"), F.col("near.w").alias("word_distance"),
+    )

@@ -11,7 +11,9 @@ Law ``bytes``: sizes near equal. Equal texts are not kept together: a group of c
 hold a third of all bytes, which no shard of equal size could take.
 
 Defined cases: a null text counts 0 bytes plus 1 and has the crc of the empty text; a null
-doc_id comes first; repeated doc_ids are ordered by crc. An empty table gives no rows.
+doc_id comes first; repeated doc_ids are ordered by crc, then by size; rows that tie in all three are
+told apart by nothing but their slots. A very long text is one row like any other. An empty table
+gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     totals = ordered.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    before = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("bytes").over(so_far), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(so_far), F.lit(0)).alias("rows_before"), F.sum("bytes").over(every).alias("total"))
+    earlier = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"{c}_before")
+    before = totals.select(F.col("part").alias("p"), earlier("bytes"), earlier("rows"), F.sum("bytes").over(every).alias("total"))
     inside = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ordered.withColumn("b", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("r", F.coalesce(F.count("*").over(inside), F.lit(0))).join(before, F.col("part") == F.col("p"))
+    running = ordered.withColumn("b", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("r", F.coalesce(F.count("*").over(inside), F.lit(0)))
+    placed = running.join(before, F.col("part") == F.col("p"))
     first = F.col("bytes_before") + F.col("b")
     cut = F.least(F.lit(n_shards - 1), F.expr(f"{n_shards} * (2 * (bytes_before + b) + size) div (2 * total)")).cast("int")
     numbered = stored(placed.select("doc_id", "size", "text_crc32", cut.alias("shard"), (F.col("rows_before") + F.col("r")).alias("row"), first.alias("first_byte")), "shard-rows")
     starts = numbered.groupBy("shard").agg(F.min("row").alias("shard_row")).withColumnRenamed("shard", "s")  # n_shards rows
     joined = numbered.join(F.broadcast(starts), F.col("shard") == F.col("s"))
-    return joined.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("shard_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "first_byte")
+    slot, grown = F.col("row") - F.col("shard_row"), F.lit(None).cast("int")
+    return joined.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), grown.alias("grown_shard"), "first_byte")

@@ -11,8 +11,9 @@ The vocabulary is a public one, its file is a parameter; a piece's log score fol
 its rank by Zipf's law (-log(rank + 2)), characters outside the vocabulary cost
 ``UNKNOWN`` each and count as one token. Ties: the segmentation with fewer pieces wins.
 
-Defined cases: null and empty texts count 0 tokens. Repeated rows each give their row.
-Extra columns are ignored. Null ``doc_id`` stays null.
+Defined cases: null and empty texts count 0 tokens. Repeated rows each give their row. Very long
+texts are looked at in one piece, others in slices of ``SLICE`` bytes. An empty table gives no rows.
+Extra columns are ignored, whatever their names. Null ``doc_id`` stays null.
 """
 
 from __future__ import annotations

@@ -344,7 +344,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
         def flush():
             ids, lengths = np.concatenate(parts), np.concatenate(counts)
             put_file(folder, f"part-{part:06d}-{seq:06d}.wvm", build(ids, names, lengths))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
+            row = {"part": (part, pa.int32()), "seq": (seq, pa.int32()), "n_docs": (len(names), pa.int64()), "n_tokens": (len(ids), pa.int64())}
+            return pa.RecordBatch.from_pydict({name: pa.array([value], kind) for name, (value, kind) in row.items()})
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
@@ -381,7 +382,9 @@ def read_shards(docs_files: DataFrame, folder: str) -> DataFrame:
                 ids = memoryview(matrix.all_ids().astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "at": pa.array(ends - lengths), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crcs, pa.int64()), "part": pa.array([part] * len(names), pa.int32()), "seq": pa.array([seq] * len(names), pa.int32())})
+                of_file = lambda number: pa.array([number] * len(names), pa.int32())  # noqa: B023, E731
+                columns = [pa.array(names, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()), of_file(part), of_file(seq)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "n_tokens", "ids_crc32", "part", "seq"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select("path", "content")
     rows = files.mapInArrow(decoded, "doc_id long, at long, n_tokens long, ids_crc32 long, part int, seq int")
