@@ -177,7 +177,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     dropped = stored(hits.groupBy("d").agg(F.collect_set("h1").alias(gone)).withColumnRenamed("d", own), "line-dropped")
     discard(frequent)
     remove(spark, at)
-    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[own]), "left")
+    joined = docs.join(dropped.hint("merge"), docs["doc_id"].eqNullSafe(dropped[own]), "left")
     return _without(joined, docs, dropped[gone], min_chars, added)
 
 
