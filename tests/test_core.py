@@ -301,6 +301,15 @@ def test_registered_code_features(spark):
     assert names == ["go", "my_name", "width"]
 
 
+def test_prompt_names_are_found_once_a_row(spark):
+    """Found again for every name of the code, a row's cost was its names times the length of its prompt."""
+    df = spark.createDataFrame([("ab = cd\ncd = ab\n", "let cd = 1, call ef()")], "t string, p string")
+    out = C.without_boilerplate(C.with_facts(df, "t"), F.col("p")).select("own_names")
+    assert out.first().own_names == ["ab", "cd", "cd", "ab"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(lambda" in plan and "array_contains(array_sort" not in plan
+
+
 def test_indentation():
     same = lambda code: C.indented(code, C.tokens_of(code)[0] if C.tokens_of(code)[1] else None, ">")
     wide, narrow = "for a in b:\n      if a:\n\t\tc\n", "for a in b:\n  if a:\n     c\n"

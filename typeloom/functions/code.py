@@ -195,9 +195,12 @@ def prompt_names(prompt: Column) -> Column:
 
 
 def without_boilerplate(df: DataFrame, prompt: Column, f: str = "facts") -> DataFrame:
-    """Adds own_names: the occurrences of names that the prompt doesn't give."""
+    """Adds own_names: the occurrences of names that the prompt doesn't give.
+
+    The prompt's names are bound: referred to in the filter, their column is put in its place and found again for every name.
+    """
     given = df.withColumn("given_names", prompt_names(F.coalesce(prompt, F.lit(""))))
-    return given.withColumn("own_names", F.filter(f"{f}.names", lambda x: ~F.array_contains(F.col("given_names"), x)))
+    return given.withColumn("own_names", bind(F.col("given_names"), lambda names: F.filter(f"{f}.names", lambda x: ~F.array_contains(names, x))))
 
 
 def _size(xs: Column) -> Column:
