@@ -320,6 +320,23 @@ def test_indentation():
     assert same(broken) == "if (:\n>a\n>>b\n>c\n"
 
 
+def test_plain_reading_is_linear(spark):
+    """Words and sentences as the plain patterns have them; a run of blanks took the square of its length."""
+    import re
+    import time
+
+    word, sentence = r"[A-Za-z0-9']+|[^A-Za-z0-9' \t\n\x0b\f\r]", r"[^.!?]*[^.!? \t\n\x0b\f\r][^.!?]*[.!?]*"
+    every = "".join(f"a{chr(k)}b{chr(k)}. " for k in [*range(0x300), 0x2003, 0x2028, 0x3000, 0xFB01, 0x1F600, 0x1D7D8])
+    texts = ["", "...", " . \n?! x", "It's 'so'. . ! No 4.5 ?!", "\t\v a\v.\x1cb\x85c\xa0d", every, every.replace(". ", "\v?! ")]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", N.PLAIN.read(F.col("t")).alias("r")).collect()
+    assert {r.i: (r.r.words, r.r.sentence_lengths) for r in got} == {i: (re.findall(word, t), [len(re.findall(word, s)) for s in re.findall(sentence, t)]) for i, t in enumerate(texts)}
+
+    began = time.time()
+    long = spark.range(1).select(F.concat(F.lit("One two."), F.repeat(F.lit(" "), 300_000), F.lit(". Three")).alias("t"))
+    assert long.select(N.PLAIN.read(F.col("t")).alias("r")).first().r.sentence_lengths == [3, 1]
+    assert time.time() - began < 15
+
+
 def test_language_features(spark):
     from string import punctuation
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection
 from dataclasses import dataclass
-from string import punctuation
+from string import ascii_letters, digits, punctuation
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from typeloom.functions.prose import occurrences
 from typeloom.functions.stats import bind, entropy, safe_ratio
 
+#: Characters of words and blanks one by one: Java looks a listed one up in a table, but tries ranges and \\s in turn.
+IN_WORD, BLANK = f"{ascii_letters}{digits}'", r" \t\n\x0b\f\r"
 #: Tags of the Penn Treebank by part of speech.
 TAGS = {"noun": ("NN", "NNS", "NNP", "NNPS"), "verb": ("VB", "VBD", "VBG", "VBN", "VBP", "VBZ"), "adj": ("JJ", "JJR", "JJS"), "adv": ("RB", "RBR", "RBS")}
 READING = T.StructType([
@@ -63,8 +65,8 @@ class PlainToolkit:
     """Words (letters, digits and apostrophes, or one other mark) and sentences (up to full stops and their like) by patterns."""
 
     stopwords: Collection[str] = ()
-    word: str = r"[A-Za-z0-9']+|[^A-Za-z0-9'\s]"
-    sentence: str = r"[^.!?]*[^.!?\s][^.!?]*[.!?]*"
+    word: str = f"[{IN_WORD}]+|[^{IN_WORD}{BLANK}]"
+    sentence: str = f"[^.!?{BLANK}][^.!?]*[.!?]*"
     tagged = False
 
     def read(self, text: Column) -> Column:
