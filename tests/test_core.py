@@ -301,6 +301,25 @@ def test_registered_code_features(spark):
     assert names == ["go", "my_name", "width"]
 
 
+def test_distributions_take_one_pass(spark):
+    """Shares as counted one by one; no pass over the words or the text for each item."""
+    import re
+
+    texts = ["The cat's on the mat, and THE dog isn't; me? #\u0303 {a} = b-\u2014!", "", "\u212Aing \u0130n \u00c9t\u00e9 'tis a" + "b" * 25, "x" * 20 + " of of"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for kind, items in {"letter": "abcdefghijklmnopqrstuvwxyz", "special": P.SPECIAL_CHARACTERS, "punctuation": P.PUNCTUATION, "word_length": [*range(1, 21)], "function_word": P.FUNCTION_WORDS}.items():
+        out = df.select("i", F.explode(P.distribution(F.col("t"), kind)).alias("x")).select("i", "x.*")
+        got = {(r.i, r.item): r.share for r in out.collect()}
+        for i, t in enumerate(texts):
+            words = re.findall("[a-z]+(?:'[a-z]+)?", t.lower())
+            for x in items:
+                n = {"word_length": [len(w) for w in words], "function_word": words, "letter": list(t.lower())}.get(kind, list(t)).count(x)
+                total = len(words) if "word" in kind else len(t)
+                assert got[i, str(x)] == (n / total if total else 0.0), (kind, i, x)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert len(got) == len(items) * len(texts) and "array_remove" not in plan and "replace(" not in plan
+
+
 def test_prompt_names_are_found_once_a_row(spark):
     """Found again for every name of the code, a row's cost was its names times the length of its prompt."""
     df = spark.createDataFrame([("ab = cd\ncd = ab\n", "let cd = 1, call ef()")], "t string, p string")

@@ -6,8 +6,12 @@ families have 0.0 on empty; the registered forms (``registered_lines``) have NUL
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
 from string import ascii_lowercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from typeloom.functions.stats import bind, entropy
 SPECIAL_CHARACTERS = "()<>%—{}[]/#̃+-*=$ˆ&"
 PUNCTUATION = "\",.?!:;'"
 FUNCTION_WORDS = """a about above after all although am among an and another any anybody anyone anything are around as at be because before behind below beside between both but by can cos do down each either enough every everybody everyone everything few following for from have he her him i if in including inside into is it its latter less like little lots many me more most much must my near need neither no nobody none nor nothing of off on once one onto opposite or our outside over own past per plenty plus regarding same several she should since so some somebody someone something such than that the their them these they this those though through till to toward towards under unless unlike until up upon us used via we what whatever when where whether which while who whoever whom whose will with within without worth would yes you your""".split()
+WORD = f"[{ascii_lowercase}]+(?:'[{ascii_lowercase}]+)?"  # letters one by one: Java looks them up in a table
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 NOT_SPACE = r"[^\s\p{Z}\x1c-\x1f\x85]"
@@ -42,7 +47,7 @@ def class_ratio(t: Column, pattern: str) -> Column:
 
 
 def words(t: Column) -> Column:
-    return F.regexp_extract_all(F.lower(t), F.lit("([a-z]+(?:'[a-z]+)?)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(t), F.lit(f"({WORD})"), F.lit(1))
 
 
 def sentences(t: Column) -> Column:
@@ -164,17 +169,32 @@ def question_means(df: DataFrame, by: list[str], **features: Column) -> DataFram
     return df.groupBy(*by).agg(*[F.avg(c.cast("double")).alias(name) for name, c in features.items()])
 
 
+def tally(t: Column, count: Callable[[str], list[int]]) -> Column:
+    """array<int>: what ``count`` gives for each text, by one Arrow function; its items cost no pass over arrays each."""
+
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array(map(count, texts.to_pylist()), pa.list_(pa.int32()))
+
+    return F.arrow_udf(told, "array<int>").asNondeterministic()(t)
+
+
 def distribution(t: Column, kind: str) -> Column:
-    """array<struct<item string, share double>> of a fixed set of items."""
+    """array<struct<item string, share double>> of a fixed set of items; ``t`` must not be null."""
     share = lambda item, count, total: F.struct(F.lit(item).alias("item"), ratio(count, total).alias("share"))
-    literally = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
-    if kind == "letter":
-        return bind(F.lower(t), lambda low: F.array(*[share(c, literally(low, c), F.length(t)) for c in ascii_lowercase]))
-    if kind in ("special", "punctuation"):
-        return F.array(*[share(c, literally(t, c), F.length(t)) for c in (SPECIAL_CHARACTERS if kind == "special" else PUNCTUATION)])
-    if kind == "word_length":
-        sizes = F.transform(words(t), lambda x: F.length(x))
-        return bind(sizes, lambda w: F.array(*[share(str(k), F.size(w) - F.size(F.array_remove(w, k)), F.size(w)) for k in range(1, 21)]))
-    if kind == "function_word":
-        return bind(words(t), lambda w: F.array(*[share(f, F.size(w) - F.size(F.array_remove(w, f)), F.size(w)) for f in FUNCTION_WORDS]))
-    raise ValueError(kind)
+    items = {"letter": ascii_lowercase, "special": SPECIAL_CHARACTERS, "punctuation": PUNCTUATION, "word_length": range(1, 21), "function_word": FUNCTION_WORDS}.get(kind)
+    if items is None:
+        raise ValueError(kind)
+
+    def of_characters(text: str) -> list[int]:
+        return [text.count(c) for c in items]
+
+    def of_words(text: str) -> list[int]:
+        found = re.findall(WORD, text)
+        n = Counter(map(len, found) if kind == "word_length" else found)
+        return [*[n[x] for x in items], len(found)]
+
+    if kind in ("word_length", "function_word"):
+        counts = tally(F.lower(t), of_words)
+    else:
+        counts = F.array_append(tally(F.lower(t) if kind == "letter" else t, of_characters), F.length(t))
+    return bind(counts, lambda n: F.array(*[share(str(x), n[k], n[len(items)]) for k, x in enumerate(items)]))
