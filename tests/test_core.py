@@ -301,6 +301,19 @@ def test_registered_code_features(spark):
     assert names == ["go", "my_name", "width"]
 
 
+def test_texts_that_nobody_typed_are_not_dealt_out(spark):
+    from typeloom.plans import extraction as X
+
+    key = "user string, session int, q_id int, r_t string, version int"
+    events = spark.createDataFrame([("u", 2, 1, "code", 2, 1.0, 1, "key", "{}")], f"{key}, ts double, seq long, event_type string, data string")
+    texts = [("u", 2, 1, "code", v, 0, 0, "code", t) for v, t in ((1, "# pasted\nx"), (2, "y"))]
+    responses = spark.createDataFrame(texts, f"{key}, entry_pos int, field_pos int, source_field string, text string")
+    found = X.extract(events, responses, None, only=["tier2_code_comment_density"])
+    assert [(r.version, r.value) for r in found.long.collect()] == [(2, 0.0)] and [r.n_dropped for r in found.dropped.collect()] == [1]
+    below = found.long._jdf.queryExecution().optimizedPlan().toString().split("Window [row_number", 1)[1]
+    assert "Filter" in below and "version" in below.split("Filter", 1)[1].split("\n")[0]
+
+
 def test_distributions_take_one_pass(spark):
     """Shares as counted one by one; no pass over the words or the text for each item."""
     import re

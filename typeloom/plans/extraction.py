@@ -76,11 +76,10 @@ def extract(events: DataFrame, responses: DataFrame, questions: DataFrame | None
         raise ValueError(f"these features need a language toolkit or its tagger: {', '.join(blind)}")
 
     every = G.groups(events, responses, questions)
-    if questions is None:
-        every = every.withColumn("prompt", F.lit(None).cast("string"))
-    spine = G.human_typed(every)
     typed = G.human_typed(events)
-    wide = spine.select(*G.KEY, "text", "prompt")
+    spine = G.groups(typed, G.human_typed(responses), questions)  # before texts are dealt out, not after: it goes by KEY alone
+    prompt = F.lit(None).cast("string").alias("prompt") if questions is None else "prompt"
+    wide = spine.select(*G.KEY, "text", prompt)
     if "rhythm" in sources:
         wide = _rhythm(wide, typed, settings)
     if "code" in sources:
